@@ -1,0 +1 @@
+"""Ranked path search and access analytics on Spark."""
