@@ -17,7 +17,7 @@ from treadle.constants import ALPHA, DECAY_INTERVAL_SECS, EDGE_MIN_WEIGHT, EPSIL
 from treadle.plans.storage import stored
 
 NODE = ["root", "path"]
-CUT_EVERY = 5
+CUT_EVERY = 10
 
 
 def out_weights(edges: DataFrame) -> DataFrame:
@@ -44,18 +44,24 @@ def start(nodes: DataFrame) -> DataFrame:
     return nodes.select(*NODE, F.lit(0.0).alias("p"), F.col("opens").alias("r"))
 
 
+def moves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, src, dst, share): where a file's residual goes. A row without a share, one per file, is what it keeps itself."""
+    own = nodes.select("root", F.col("path").alias("src"), F.col("path").alias("dst"), F.lit(None).cast("double").alias("share"))
+    return shares(edges).unionByName(own)
+
+
 def pushed(state: DataFrame, of: DataFrame, epsilon: float = 0.0) -> DataFrame:
-    """One round over the state (root, path, p, r) with the shares ``of``."""
-    active = F.abs("r") >= epsilon
-    sent = state.where(active & (F.col("r") != 0)).select("root", F.col("path").alias("src"), "r").join(of, ["root", "src"])
-    got = sent.groupBy("root", F.col("dst").alias("path")).agg(F.sum(ALPHA * F.col("r") * F.col("share")).alias("got"))
-    both = state.join(got, NODE, "left")
-    kept = F.when(active, 0.0).otherwise(F.col("r"))
-    return both.select(*NODE, F.when(active, F.col("p") + (1 - ALPHA) * F.col("r")).otherwise(F.col("p")).alias("p"), (kept + F.coalesce("got", F.lit(0.0))).alias("r"))
+    """One round over the state (root, path, p, r) with the moves ``of``: one join and one sum, the state read once."""
+    rows = state.join(of.withColumnRenamed("src", "path"), NODE)
+    active, own = F.abs("r") >= epsilon, F.col("share").isNull()
+    p = F.when(own & active, F.col("p") + (1 - ALPHA) * F.col("r")).when(own, F.col("p")).otherwise(0.0)
+    r = F.when(own & active, 0.0).when(own, F.col("r")).when(active, ALPHA * F.col("r") * F.col("share")).otherwise(0.0)
+    return rows.groupBy("root", F.col("dst").alias("path")).agg(F.sum(p).alias("p"), F.sum(r).alias("r"))
 
 
 def rounds(state: DataFrame, edges: DataFrame, n: int = ROUNDS, epsilon: float = 0.0) -> DataFrame:
-    of = stored(shares(edges), ["root", "src"])
+    state = stored(state)
+    of = stored(moves(state, edges), ["root", "src"])
     for k in range(1, n + 1):
         state = pushed(state, of, epsilon)
         if k % CUT_EVERY == 0 and k < n:
@@ -87,7 +93,7 @@ def residual(nodes: DataFrame, settled: DataFrame, edges: DataFrame) -> DataFram
 
 def incremental_rank(nodes: DataFrame, settled: DataFrame, edges: DataFrame, n: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
     """The rank after changes: from the settled p of before, only files whose residual reaches epsilon work."""
-    return rounds(stored(residual(nodes, settled, edges)), edges, n, epsilon)
+    return rounds(residual(nodes, settled, edges), edges, n, epsilon)
 
 
 def score(p: str = "p") -> F.Column:

@@ -26,11 +26,12 @@ def parsed(lines: DataFrame, col: str = "line") -> DataFrame:
     """``lines`` with ``ok`` and the members. Members may come in any order; an unknown one, a wrong type, text that
     isn't one object, no member at all or more than 20 hits make a line bad."""
     reply = F.try_parse_json(F.col(col))
+    alone = F.size(F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<string>")) == 1  # nothing follows the object
     keys = F.json_object_keys(col)
     value = F.from_json(F.col(col), SCHEMA, {"mode": "PERMISSIVE"})
     allowed = lambda found, names: F.forall(found, lambda k: k.isin(*names))
     hit_keys = F.from_json(F.get_json_object(col, "$.hits"), "array<map<string,string>>")
-    fine = reply.isNotNull() & (F.size(keys) > 0) & allowed(keys, MEMBERS)
+    fine = reply.isNotNull() & alone & (F.size(keys) > 0) & allowed(keys, MEMBERS)
     fine = fine & F.forall(F.coalesce(hit_keys, F.array().cast("array<map<string,string>>")), lambda m: allowed(F.map_keys(m), HIT_MEMBERS))
     for name in MEMBERS[:8]:  # a member that stands there was read
         fine = fine & (~F.array_contains(keys, name) | value[name].isNotNull())

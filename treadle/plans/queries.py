@@ -323,7 +323,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
 @query
 def pr_step(spark, sf):
     opens, edges = graph(spark, sf)
-    return rounded(rank.pushed(rank.start(rank.with_targets(opens, edges)), rank.shares(edges)), "p", "r", digits=6)
+    start = rank.start(rank.with_targets(opens, edges))
+    return rounded(rank.pushed(start, rank.moves(start, edges)), "p", "r", digits=6)
 
 
 @query
