@@ -11,7 +11,7 @@ from treadle.llm.queries import vocabulary
 
 #: A document goes if its toxicity is at least this, or its language's probability below that.
 TOXIC = 0.5
-KNOWN = 0.5
+KNOWN = 0.35
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
