@@ -342,3 +342,24 @@ def test_engine(spark, tmp_path):
     again.forget()
     assert [r["score"] for r in again.query(".c").collect()] == [0.0, 0.0]
     assert not api.Engine(spark, "/never", str(tmp_path)).open()
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from treadle.__main__ import run
+
+    monkeypatch.setenv("XDG_STATE_HOME", str(tmp_path / "state"))
+    (tmp_path / "tree/sub").mkdir(parents=True)
+    for f in ("one.txt", "sub/two.txt"):
+        (tmp_path / "tree" / f).write_text("")
+    where = str(tmp_path / "tree")
+    assert run(["query", ".txt", where], spark) == 0
+    assert sorted(capsys.readouterr().out.split()) == [f"{where}/one.txt", f"{where}/sub/two.txt"]
+    (tmp_path / "tree/three.txt").write_text("")
+    assert run(["query", "three", where], spark) == 1
+    assert run(["query", "three", where, "--rescan", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["total"] == 1
+    assert run(["forget", where], spark) == 0 and run(["clear"], spark) == 0
+    assert run(["query", "x", str(tmp_path / "nowhere")], spark) == 2
+    with pytest.raises(SystemExit) as e:
+        run(["query", "x", where, "--limit", "21"], spark)
+    assert e.value.code == 2

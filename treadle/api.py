@@ -66,12 +66,12 @@ class Engine:
         live = self.entries.where(~F.col("dead")).count()
         return {"root": self.root, "indexed": live, "scan_done": self.scan_done, "unwatched": 0, "root_lost": False, "index_gen": self.index_gen, "score_gen": self.score_gen}
 
-    def reply(self, text: str) -> str:
+    def reply(self, text: str, limit: int = TOP_K) -> str:
         """One JSON line with totals, status and hits."""
         asked = self.spark.createDataFrame([(0, self.root, text)], "qid int, root string, text string")
         status = self.spark.createDataFrame([tuple(self.status().values())], "root string, indexed int, scan_done boolean, unwatched int, root_lost boolean, index_gen long, score_gen long")
         entries = self.scored()
-        return reply.replies(search.batch_search(entries, asked), search.batch_totals(entries, asked), status, asked).first()["reply"]
+        return reply.replies(search.batch_search(entries, asked, limit), search.batch_totals(entries, asked), status, asked).first()["reply"]
 
     def decay(self, now: int) -> None:
         elapsed = now - self.last_decay
