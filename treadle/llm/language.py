@@ -27,7 +27,7 @@ SAMPLE = 800
 PLACES = 3
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-FILTERS = 8
+FILTERS = 12
 DIMS = 8
 UNKNOWN = "und"
 
@@ -47,15 +47,15 @@ class Network:
     def params(self) -> list[np.ndarray]:
         return [self.embed, *self.kernels, self.shift, self.out, self.bias]
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = 350, batch: int = 96, rate: float = 0.01, seed: int = 2) -> None:
+    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, seed: int = 2) -> None:
         """windows: (n, WINDOW + 3) bytes. Some are shortened at random, so that short texts are known too."""
         rng = np.random.default_rng(seed)
         means, squares = [np.zeros_like(p) for p in self.params()], [np.zeros_like(p) for p in self.params()]
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(windows), batch)
             x, y = windows[pick].copy(), labels[pick]
-            for k in np.flatnonzero(rng.random(batch) < 0.4):
-                x[k, rng.integers(12, WINDOW) :] = 0
+            for k in np.flatnonzero(rng.random(batch) < 0.6):
+                x[k, int(4 * (WINDOW / 4) ** rng.random()) :] = 0
             pooled, best = [], []
             for w, kernel in zip(WIDTHS, self.kernels, strict=True):
                 conv = sum((self.embed @ kernel[j])[x[:, j : j + WINDOW]] for j in range(w))
