@@ -1,21 +1,24 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 A text's words are those of the fingerprints (runs of letters, marks and digits, lower case); its elements are five-word
-shingles (all words, if fewer), weighted by how often they occur. Each element sends arrivals of a Poisson process
+shingles (all words, if fewer), weighted by 1 + ln(how often they occur), so that a phrase repeated throughout doesn't make
+two texts alike that share little else. Each element sends arrivals of a Poisson process
 with its weight as rate into SLOTS slots, from a generator seeded by the element alone; a slot keeps the element that
 arrives first, and an element ends once its next arrival is later than every slot's. The share of equal slots
 estimates the probability Jaccard similarity. BANDS groups of ROWS slots are hashed; texts that share a band are
-candidates, and a pair is a link if its exact probability Jaccard or set Jaccard similarity is at least THRESHOLD.
+candidates, and a pair is a link if the exact Jaccard similarity of its sets of shingles is at least THRESHOLD.
 
 Steps, each linear in its input but for the last:
 1. Texts with the same words are copies, found by a 128-bit digest; the least id stands for them from here on.
-2. In each band bucket every member is paired with the least id (the centre), and the pair is verified.
+2. In each band bucket every member is paired with a centre, and the pair is verified. The centre is the member that meets most
+   others over all its buckets (ties: the least id): of many copies of one text, that is the text they come from.
 3. Links make components by alternating large-star and small-star steps on tables.
-4. Members whose component differs from their centre's are paired with the bucket's members of other components,
-   unless the known similarities to the centre rule a link out: both distances are metrics, so two texts can't be as
-   near as 1 - THRESHOLD if their distances to the centre differ by more. These pairs are verified, and components are made anew.
-So every two texts that share a bucket are in one component, or verified, or ruled out: no link is lost to a cap, and pairs
-inside a component aren't made.
+4. Members whose component differs from their centre's may still be a link of other members. Two such texts either share an
+   element that the centre lacks, and are found by joining the centre's members on a prefix of those elements; or they have in
+   common only what the centre has too, and the known counts bound their similarity, which rules out nearly all. What is left
+   is verified, and components are made anew.
+So every two texts that share a bucket are in one component, or verified, or proven to be no link: none is lost to a cap, and
+pairs inside a component, or of texts that only resemble the same third one, aren't made.
 
 Null and empty texts are copies of each other; texts without words are copies if equal but for outer spaces. Rows that repeat an
 id count once, with the least of their texts' groups if those differ; rows with a null id take no part. Ties go to
@@ -24,6 +27,7 @@ the least id. Further columns aren't read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,24 +94,15 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[float, float]:
-    """Set Jaccard and probability Jaccard of two weighted sets, given by ascending elements and their weights."""
-    if not len(a) or not len(b):
-        return (1.0, 1.0) if len(a) == len(b) else (0.0, 0.0)
-    common, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    size = len(a) + len(b) - len(common)
-    jaccard = len(common) / size
-    if not len(common) or (na.max() == 1 and nb.max() == 1):
-        return jaccard, jaccard
-    wa, wb = na[ia].astype(np.float64), nb[ib].astype(np.float64)
-    only_b = float(nb.sum() - wb.sum())  # ratio infinite: counts with weight in b, whatever the element
-    only_a = float(na.sum() - wa.sum())  # ratio 0
-    order = np.argsort(wb / wa, kind="stable")
-    ratio = (wb / wa)[order]
-    upto = np.searchsorted(ratio, ratio, side="right")
-    low = np.concatenate([[0.0], np.cumsum(wa[order])])[upto] + only_a
-    high = wb.sum() - np.concatenate([[0.0], np.cumsum(wb[order])])[upto] + only_b
-    return jaccard, float((1 / (low / wa[order] + high / wb[order])).sum())
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Weights of elements that occur so often: a phrase repeated a hundred times weighs as much as six others."""
+    return 1 + np.log(counts)
+
+
+def probability_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
+    """What the share of equal slots estimates, element by element: for the tests."""
+    union = {*a, *b}
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in union) for i in union if i in a and i in b)
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,8 +130,10 @@ def signed(plain: DataFrame) -> DataFrame:
                 to = min(max(to, k + 1), k + 2048, batch.num_rows)
                 sets = [shingles(values[offsets[j] : offsets[j + 1]]) for j in range(k, to)]
                 owner = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
-                bands = band_hashes(prob_minhash(np.concatenate([s for s, _ in sets]), np.concatenate([n for _, n in sets]), owner, len(sets)))
-                ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
+                bands = band_hashes(prob_minhash(np.concatenate([s for s, _ in sets]), damped(np.concatenate([n for _, n in sets])), owner, len(sets)))
+                some = np.array([len(s) > 0 for s, _ in sets])  # texts without words have no bands
+                ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+                bands = bands[some]
                 part = batch.slice(k, to - k)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], ["id", "d1", "d2", "bands"])
                 k = to
@@ -145,7 +142,7 @@ def signed(plain: DataFrame) -> DataFrame:
 
 
 def contents(plain: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, elements, weights) of the texts whose ids are asked for; weights are empty where all are 1."""
+    """(id, elements) of the texts whose ids are asked for: distinct shingle hashes, ascending, as bytes."""
     few = ids.count() <= BROADCAST_IDS
     rows = plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
 
@@ -154,32 +151,73 @@ def contents(plain: DataFrame, ids: DataFrame) -> DataFrame:
             values, offsets = _lists(batch.column(1))
             for k in range(0, batch.num_rows, 256):
                 to = min(k + 256, batch.num_rows)
-                sets = [shingles(values[offsets[j] : offsets[j + 1]]) for j in range(k, to)]
-                elements = pa.array([s.tobytes() for s, _ in sets], pa.binary())
-                weights = pa.array([n.astype(np.uint32).tobytes() if len(n) and n.max() > 1 else b"" for _, n in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), elements, weights], ["id", "elements", "weights"])
+                elements = [shingles(values[offsets[j] : offsets[j + 1]])[0].tobytes() for j in range(k, to)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), pa.array(elements, pa.binary())], ["id", "elements"])
 
-    return rows.mapInArrow(run, "id long, elements binary, weights binary")
+    return rows.mapInArrow(run, "id long, elements binary")
 
 
-def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
-    """(a, b, jaccard, probability): exact similarities of distinct pairs of ids."""
+def verified(pairs: DataFrame, plain: DataFrame, extras: bool = False) -> DataFrame:
+    """(a, b, jaccard, size_a, size_b, common, prefix) of distinct pairs of ids: exact sizes of their sets of shingles.
+
+    With ``extras``, ``prefix`` has the least of b's elements that a lacks: as many as two texts that differ from a in their own
+    ways, and are a link, can't avoid sharing one of.
+    """
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     own = contents(plain, ids)
-    name = lambda side: own.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"), F.col("weights").alias(f"w{side}"))
-    rows = pairs.join(name("b"), "b").join(name("a"), "a").select("a", "b", "ea", "wa", "eb", "wb")
+    name = lambda side: own.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"))
+    rows = pairs.join(name("b"), "b").join(name("a"), "a").select("a", "b", "ea", "eb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def weighted(e: pa.Scalar, w: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-            e = np.frombuffer(e.as_buffer(), np.uint64)
-            w = np.frombuffer(w.as_buffer(), np.uint32)
-            return e, w.astype(np.int64) if len(w) else np.ones(len(e), np.int64)
-
+        elements = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         for batch in batches:
-            found = [similarities(*weighted(batch.column(2)[k], batch.column(3)[k]), *weighted(batch.column(4)[k], batch.column(5)[k])) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64())], ["a", "b", "jaccard", "probability"])
-
-    return rows.mapInArrow(run, "a long, b long, jaccard double, probability double")
+            found, rest = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = elements(x), elements(y)
+                only = np.setdiff1d(y, x, assume_unique=True)
+                common = len(y) - len(only)
+                union = len(x) + len(only)
+                found.append((common / union if union else 0.0, len(x), len(y), common))
+                rest.append(np.sort(mixed(only))[: prefix_length(len(y), common)].view(np.int64) if extras else [])
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] if found else [pa.array([], t) for t in (pa.float64(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "jaccard", "size_a", "size_b", "common", "prefix"])
+
+    return rows.mapInArrow(run, "a long, b long, jaccard double, size_a int, size_b int, common int, prefix array<bigint>")
+
+
+def prefix_length(size: int, common: int) -> int:
+    """How many of a text's extra elements, in a fixed order, are enough to meet any link that shares an extra element.
+
+    A link of sets x and y has at least t / (1 + t) * (|x| + |y|) elements in common, so t * |x| at least, of which the
+    centre can give ``common``; the other k are extras of both. Two sets that share k elements share one among the first
+    n - k + 1 of each.
+    """
+    needed = max(1, math.ceil(THRESHOLD * size - common - 1e-9))
+    return max(0, size - common - needed + 1)
+
+
+def left_pairs(stars: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts around one centre, of different components, that can be a link and weren't verified.
+
+    ``stars`` are verified (a, b, ...) with a the centre, and the roots of both. Nothing has to be done where all
+    are of the centre's component. Otherwise a link either shares an extra element, one that the centre lacks, and so one in both prefixes; or
+    all it has in common is common with the centre, which bounds it by the known counts.
+    """
+    apart = F.col("root_b") != F.col("root_a")
+    mixed_groups = stars.where(apart).select("a").distinct()
+    own = stars.join(mixed_groups, "a", "left_semi").select("a", "b", F.col("root_b").alias("root"), apart.alias("apart"), F.col("size_b").alias("size"), "common", "prefix")
+    side = lambda df, n: df.select("a", *[F.col(c).alias(f"{c}{n}") for c in ("b", "root", "apart", "size", "common")])
+    once = (F.col("root1") != F.col("root2")) & (~F.col("apart2") | (F.col("b1") < F.col("b2")))
+    needed = THRESHOLD / (1 + THRESHOLD) * (F.col("size1") + F.col("size2")) - 1e-9
+    within = side(own.where("apart"), 1).join(side(own, 2), "a").where(once & (F.least("common1", "common2") >= needed))
+    lines = own.select("a", "b", "root", "apart", "size", "common", F.explode("prefix").alias("e"))
+    one = lines.where("apart").select("a", "e", *[F.col(c).alias(f"{c}1") for c in ("b", "root", "apart", "size", "common")])
+    two = lines.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "root", "apart", "size", "common")])
+    extra = lambda n: F.col(f"size{n}") - F.col(f"common{n}")
+    enough = F.least("common1", "common2") + F.least(extra(1), extra(2)) >= needed
+    shared = one.join(two, ["a", "e"]).where(once & enough)
+    pair = lambda df: df.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
+    return pair(within).unionByName(pair(shared)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,23 +245,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(signed(plain))
     classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = stored(members.join(centres, "bucket").select("bucket", "rep", "centre"))
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(members.join(crowded, "bucket"))
+    mates = shared.groupBy("rep").agg(F.sum("n").alias("mates"))
+    centres = shared.join(mates, "rep").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("centre"))
+    shared = stored(shared.join(centres, "bucket").select("bucket", "rep", "centre"))
     pairs = stored(shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    known = stored(verified(pairs, plain))
-    near = (F.col("jaccard") >= THRESHOLD) | (F.col("probability") >= THRESHOLD)
-    links = known.where(near).select("a", "b")
+    stars = stored(verified(pairs, plain, extras=True))
+    near = F.col("jaccard") >= THRESHOLD
+    links = stars.where(near).select("a", "b")
     roots = components(links)
 
-    root_of = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    placed = root_of(root_of(shared.where("rep <> centre"), "rep"), "centre")
-    placed = placed.join(known.withColumnsRenamed({"a": "centre", "b": "rep"}), ["centre", "rep"])
-    placed = stored(placed.select("bucket", "rep", "rep_root", (F.col("rep_root") != F.col("centre_root")).alias("apart"), "jaccard", "probability"))
-    side = lambda df, n: df.select("bucket", *[F.col(c).alias(f"{c}{n}") for c in ("rep", "rep_root", "apart", "jaccard", "probability")])
-    slack = 1 - THRESHOLD + 1e-9
-    rest = side(placed.where("apart"), 1).join(side(placed, 2), "bucket").where("rep_root1 <> rep_root2 and (not apart2 or rep1 < rep2)")
-    rest = rest.where((F.abs(F.col("jaccard1") - F.col("jaccard2")) <= slack) | (F.abs(F.col("probability1") - F.col("probability2")) <= slack))
-    rest = stored(rest.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct())
+    root_of = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    rest = stored(left_pairs(root_of(root_of(stars, "b"), "a")))
     if not rest.isEmpty():
         more = stored(verified(rest, plain)).where(near).select("a", "b")
         links = links.unionByName(more).distinct()
