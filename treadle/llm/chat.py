@@ -55,17 +55,19 @@ def parsed_lines(text: Column) -> Column:
 
 def units(lines: Column) -> Column:
     """(level, norm) of every passage and every line with text, of levels 0 and up."""
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda k: (F.get(lines, k)["norm"] != "") & (F.get(lines, k)["level"] >= 0) & ~F.coalesce((k > 0) & (F.get(lines, k - 1)["norm"] != "") & (F.get(lines, k - 1)["level"] == F.get(lines, k)["level"]), F.lit(False)),
-    )
-    stops = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda k: (F.get(lines, k)["norm"] != "") & (F.get(lines, k)["level"] >= 0) & ~F.coalesce((F.get(lines, k + 1)["norm"] != "") & (F.get(lines, k + 1)["level"] == F.get(lines, k)["level"]), F.lit(False)),
-    )
-    passages = F.zip_with(starts, stops, lambda a, b: F.struct(F.get(lines, a)["level"].alias("level"), F.array_join(F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: x["norm"]), " ").alias("norm")))
-    single = F.transform(F.filter(lines, lambda x: (x["norm"] != "") & (x["level"] >= 0)), lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("norm")))
-    return F.array_distinct(F.concat(passages, single))
+
+    def found(a: Column) -> Column:
+        text = lambda k: (F.get(a, k)["norm"] != "") & (F.get(a, k)["level"] >= 0)
+        joins = lambda k, other: F.coalesce((F.get(a, other)["norm"] != "") & (F.get(a, other)["level"] == F.get(a, k)["level"]), F.lit(False))
+        places = F.sequence(F.lit(0), F.size(a) - 1)
+        starts = F.filter(places, lambda k: text(k) & ~((k > 0) & joins(k, k - 1)))
+        stops = F.filter(places, lambda k: text(k) & ~joins(k, k + 1))
+        whole = lambda x, y: F.array_join(F.transform(F.slice(a, x + 1, y - x + 1), lambda line: line["norm"]), " ")
+        passages = F.zip_with(starts, stops, lambda x, y: F.struct(F.get(a, x)["level"].alias("level"), whole(x, y).alias("norm")))
+        single = F.transform(F.filter(a, lambda x: (x["norm"] != "") & (x["level"] >= 0)), lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("norm")))
+        return F.array_distinct(F.concat(passages, single))
+
+    return let(lines, found)
 
 
 def running_max(df: DataFrame, keys: list[str], order: str, value: str, out: str, before: bool) -> DataFrame:
