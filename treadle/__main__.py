@@ -40,11 +40,12 @@ def parser() -> argparse.ArgumentParser:
 def run(argv: list[str], spark=None) -> int:
     from treadle.api import Engine
     from treadle.operators import snapshot
-    from treadle.session import session
+    from treadle.session import session, ship
     from treadle.sources.tree import listing
 
     asked = parser().parse_args(argv)
     spark = spark or session(os.environ.get("TREADLE_MASTER", "local[*]"))
+    ship(spark)
     folder = state_folder()
     if asked.command == "clear":
         snapshot.clear_all(spark, folder)

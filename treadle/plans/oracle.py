@@ -228,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT r.root, min(s.root) AS old_root FROM r JOIN s USING (dev, ino, btime) WHERE r.btime <> 0 AND r.root NOT IN (SELECT root FROM s)
           AND NOT EXISTS (SELECT 1 FROM l WHERE l.root = s.root AND l.dev = s.dev AND l.ino = s.ino AND l.btime = s.btime) GROUP BY r.root""",
         "status_row": f"""WITH {EVENTS}, {LIFE} SELECT root, indexed, true AS scan_done, 0 AS unwatched, false AS root_lost, index_gen, score_gen FROM (SELECT root, count_if(NOT dead)::INTEGER AS indexed FROM life GROUP BY root)
-          JOIN (SELECT root, count_if(kind IN ('create', 'delete')) AS index_gen, count_if(kind IN ('open', 'edit')) AS score_gen FROM ev GROUP BY root) USING (root)""",
+          JOIN (SELECT root, count_if(kind IN ('create', 'delete'))::BIGINT AS index_gen, count_if(kind IN ('open', 'edit'))::BIGINT AS score_gen FROM ev GROUP BY root) USING (root)""",
     }
     own |= {name: hits(t) for name, t in Q.SEARCHES.items()}
     own["tok_probe"] = f"WITH {TOKENS} SELECT * FROM (" + " UNION ALL ".join(probe(t) for t in Q.PROBE_TEXTS) + ")"
