@@ -342,6 +342,12 @@ def test_engine(spark, tmp_path):
     again.forget()
     assert [r["score"] for r in again.query(".c").collect()] == [0.0, 0.0]
     assert not api.Engine(spark, "/never", str(tmp_path)).open()
+    born = api.Engine(spark, "/r", str(tmp_path / "named"), identity=(1, 2, 3))
+    born.reconcile(entries(spark, ["", "a.c"]).select("root", "path", "is_dir"))
+    born.save()
+    moved = api.Engine(spark, "/moved", str(tmp_path / "named"), identity=(1, 2, 3))
+    assert not moved.open(identity_of=lambda path: (1, 2, 3))  # the old name still leads there
+    assert moved.open() and names(moved.query("a.c")) == ["/moved/a.c"]
 
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
@@ -363,3 +369,16 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     with pytest.raises(SystemExit) as e:
         run(["query", "x", where, "--limit", "21"], spark)
     assert e.value.code == 2
+
+
+def test_plans_push_down_and_stay_narrow(spark, tmp_path):
+    entries(spark, ["a.c", "sub/", "sub/b.c"]).write.parquet(str(tmp_path / "entries"))
+    stored = spark.read.parquet(str(tmp_path / "entries"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prefix = plan(search.search(stored, "/r", "sub/"))
+    assert "StringStartsWith(path,/r/sub/)" in prefix and "TakeOrderedAndProject" in prefix and "Exchange" not in prefix
+    token = plan(search.search(stored, "/r", "b.c"))
+    assert "TakeOrderedAndProject" in token and "Exchange" not in token
+    batch = plan(search.batch_search(stored, spark.createDataFrame([(0, "/r", "b.c")], "qid int, root string, text string")))
+    assert "BroadcastHashJoin" in batch and "WindowGroupLimit" in batch and "CartesianProduct" not in batch

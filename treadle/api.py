@@ -20,17 +20,21 @@ RANK = "root string, path string, p double, r double"
 class Engine:
     """Every method that changes something writes the new tables to the shared folder and goes on from those."""
 
-    def __init__(self, spark: SparkSession, root: str, folder: str, half_life: float = HALF_LIFE_SECS):
-        self.spark, self.root, self.folder, self.half_life = spark, root, folder, half_life
+    def __init__(self, spark: SparkSession, root: str, folder: str, half_life: float = HALF_LIFE_SECS, identity: tuple[int, int, int] = (0, 0, 0)):
+        """``identity``: the root's device, inode and time of birth, by which its snapshot is found after a rename."""
+        self.spark, self.root, self.folder, self.half_life, self.identity = spark, root, folder, half_life, identity
         empty = lambda schema: spark.createDataFrame([], schema)
         self.entries, self.opens, self.edges, self.rank = empty(ENTRY), empty(OPENS), empty(EDGES), empty(RANK)
         self.last_decay, self.changed, self.scan_done, self.index_gen, self.score_gen = int(time.time()), False, False, 0, 0
 
-    def open(self) -> bool:
-        """Load the newest snapshot; False if there is none."""
+    def open(self, identity_of=lambda path: None) -> bool:
+        """Load the newest snapshot, or the one of the root's former name; False if there is none."""
         found = snapshot.load(self.spark, self.folder, self.root)
         if found is None:
-            return False
+            old = snapshot.adoptable(self.spark, self.folder, self.root, self.identity, identity_of)
+            if old is None:
+                return False
+            found, self.changed = snapshot.load(self.spark, self.folder, self.root, old), True
         nodes, edges, head = found
         self.entries = nodes.select("root", "path", "is_dir", F.lit(False).alias("dead"))
         self.opens = nodes.where("opens > 0").select("root", "path", "opens")
@@ -91,6 +95,6 @@ class Engine:
         if not self.changed:
             return None
         nodes = stored(snapshot.snapshot_nodes(self.scored(), self.opens))
-        place = snapshot.save(self.folder, self.root, nodes, snapshot.snapshot_edges(nodes, self.edges), last_decay=self.last_decay)
+        place = snapshot.save(self.folder, self.root, nodes, snapshot.snapshot_edges(nodes, self.edges), self.identity, last_decay=self.last_decay)
         self.changed = False
         return place

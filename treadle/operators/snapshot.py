@@ -97,19 +97,46 @@ def versions(spark: SparkSession, folder: str, root: str) -> list[str]:
     return sorted(done, key=lambda p: int(p.rsplit("/", 1)[1]), reverse=True)
 
 
-def load(spark: SparkSession, folder: str, root: str) -> tuple[DataFrame, DataFrame, dict] | None:
-    """(nodes with absolute paths, edges, header) of the newest version, or None. One bad row rejects the whole snapshot."""
-    found = versions(spark, folder, root)
+def load(spark: SparkSession, folder: str, root: str, saved_as: str | None = None) -> tuple[DataFrame, DataFrame, dict] | None:
+    """(nodes with absolute paths, edges, header) of the newest version, or None. One bad row rejects the whole snapshot.
+
+    ``saved_as``: the root's name when it was saved, if that was another; paths are relative, so they come out under the new one.
+    """
+    old = saved_as or root
+    found = versions(spark, folder, old)
     if not found:
         return None
     head = json.loads(spark.read.text(f"{found[0]}/meta").first()["value"])
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{found[0]}/nodes")
     edges = spark.read.schema(EDGE_SCHEMA).parquet(f"{found[0]}/edges")
     counts = nodes.groupBy("root").agg(F.count("*").alias("n_nodes"))
-    if head["root"] != root or head["last_decay"] < 0 or not node_faults(nodes).where("not ok").isEmpty() or not edge_faults(edges, counts).where("not ok").isEmpty():
+    if head["root"] != old or head["last_decay"] < 0 or not node_faults(nodes).where("not ok").isEmpty() or not edge_faults(edges, counts).where("not ok").isEmpty():
         raise ValueError(f"the snapshot of {root} is damaged")
     path = F.when(F.col("rel") == "", F.lit(root)).otherwise(joined(F.lit(root), F.col("rel")))
-    return nodes.withColumn("path", path), edges, head
+    named = lambda df: df.withColumn("root", F.lit(root))
+    return named(nodes).withColumn("path", path), named(edges), head
+
+
+def saved_roots(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(root, dev, ino, btime) of all snapshots in a folder; None if there are none."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/*/meta/_SUCCESS")
+    if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
+        return None
+    heads = spark.read.text(f"{folder}/*/*/meta").select(F.from_json("value", "root string, dev long, ino long, btime long").alias("h"))
+    return heads.select("h.*").distinct()
+
+
+def adoptable(spark: SparkSession, folder: str, root: str, identity: tuple[int, int, int], identity_of) -> str | None:
+    """The old name of a root that was renamed and has no snapshot under its new one. ``identity_of(path)``: what a path leads to now, or None."""
+    saved = saved_roots(spark, folder)
+    if saved is None or not identity[2]:
+        return None
+    same = saved.where((F.col("dev") == identity[0]) & (F.col("ino") == identity[1]) & (F.col("btime") == identity[2]))
+    names = [r["root"] for r in same.select("root").distinct().collect()]  # snapshots of one directory's names
+    schema = "root string, dev long, ino long, btime long"
+    reachable = spark.createDataFrame([(n, *i) for n in names if (i := identity_of(n))], schema)
+    found = adoptions(spark.createDataFrame([(root, *identity)], schema), saved, reachable).first()
+    return found["old_root"] if found else None
 
 
 def clear_all(spark: SparkSession, folder: str) -> bool:
