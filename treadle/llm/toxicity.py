@@ -32,7 +32,9 @@ SEGMENT_WORDS = 2
 BUCKETS = 1 << 16
 DECAY = 3e-5
 DIMS = 12
-CACHE = 400_000
+CACHE = 150_000
+#: Words whose n-grams are hashed at once.
+SLICE = 20_000
 #: Documents that training looks at, the same ones again where there are fewer.
 VISITS = 12_000
 #: The rarer label weighs up to this much more.
@@ -101,8 +103,8 @@ class Scorer:
         if len(self.parts) > CACHE:
             self.parts.clear()
         fresh = list({w for own in found for w in own if w not in self.parts})
-        for k in range(0, len(fresh), 50_000):
-            own = fresh[k : k + 50_000]
+        for k in range(0, len(fresh), SLICE):
+            own = fresh[k : k + SLICE]
             self.parts.update(zip(own, self.model.word_parts(own).tolist(), strict=True))
         of, out = self.parts.__getitem__, np.empty(len(texts))
         for k, own in enumerate(found):
@@ -126,8 +128,12 @@ def train(texts: list[str], labels: list[int], visits: int = VISITS, batch: int
     docs = [words(t) for t in texts]
     ids: dict[str, int] = {}
     coded = [np.array([ids.setdefault(w, len(ids)) for w in d], np.int64) for d in docs]
-    bucket, owner = subwords(list(ids))
-    first = np.searchsorted(owner, np.arange(len(ids) + 1))
+    del docs
+    unique = list(ids)
+    parts = [subwords(unique[k : k + SLICE]) for k in range(0, len(unique), SLICE)]
+    bucket = np.concatenate([b for b, _ in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.bincount(o) for _, o in parts]))]) if parts else np.zeros(1, np.int64)
+    del unique, parts, ids
     seen = np.zeros(BUCKETS, np.int64)
     for own in coded:
         if len(own):
@@ -142,9 +148,9 @@ def train(texts: list[str], labels: list[int], visits: int = VISITS, batch: int
     y, step = np.array(labels, np.float32), 0
     rarer = np.clip(np.sqrt((1 - y).sum() / y.sum()), 1 / RARE_WEIGHT, RARE_WEIGHT)
     weight = np.where(y == 1, rarer, 1.0).astype(np.float32)
-    epochs = max(2, min(60, round(visits / len(docs))))
+    epochs = max(2, min(60, round(visits / len(coded))))
     for epoch in range(epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(coded))
         for at in range(0, len(order), batch):
             own = [d for d in order[at : at + batch] if len(coded[d])]
             if not own:
@@ -212,8 +218,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(part.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
@@ -227,8 +233,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 yield part.filter(pa.array(scorer.scores(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, fields)
