@@ -29,7 +29,7 @@ from treadle.llm.common import hash_sample
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
-CACHE = 300_000
+CACHE = 150_000
 _RUNS = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 
 
