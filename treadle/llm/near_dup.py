@@ -43,6 +43,7 @@ BANDS, ROWS = 20, 5
 SLOTS = BANDS * ROWS
 #: Ids of texts to verify are broadcast up to this many (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+SALTS = 16
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, copy_of, class_id, links): the least id with the same words, the least id of the group, and how many links the words have."""
     plain = _plain(docs, id_col, text_col)
     rows = stored(signed(plain))
-    classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(crowded, "bucket"))
@@ -263,7 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more).distinct()
         roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    named = rows.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    # only texts with copies need a look-up; a salt deals out the rows of a text that has very many
+    several = classes.where("copies > 1").select("d1", "d2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = rows.select("id", "d1", "d2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = named.join(several, ["d1", "d2", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     named = named.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.select("id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return named.groupBy("id").agg(F.min(F.struct("class_id", "copy_of", "links")).alias("x")).select("id", "x.copy_of", "x.class_id", "x.links")
