@@ -24,7 +24,7 @@ K = 256
 HASH_BITS = 48
 SHINGLE_WORDS = 5
 #: Ids are grouped by id div SPAN, so a group has SPAN distinct ids at most; the table of groups is broadcast up to HEADS rows of 24 bytes.
-SPAN = 4096
+SPAN = 1024
 HEADS = 1_000_000
 
 
