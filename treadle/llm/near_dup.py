@@ -205,8 +205,9 @@ def left_pairs(stars: DataFrame) -> DataFrame:
     all it has in common is common with the centre, which bounds it by the known counts.
     """
     apart = F.col("root_b") != F.col("root_a")
-    mixed_groups = stars.where(apart).select("a").distinct()
-    own = stars.join(mixed_groups, "a", "left_semi").select("a", "b", F.col("root_b").alias("root"), apart.alias("apart"), F.col("size_b").alias("size"), "common", "prefix")
+    mixed_groups = stored(stars.where(apart).select("a").distinct())
+    few = mixed_groups.count() <= BROADCAST_IDS
+    own = stars.join(F.broadcast(mixed_groups) if few else mixed_groups, "a", "left_semi").select("a", "b", F.col("root_b").alias("root"), apart.alias("apart"), F.col("size_b").alias("size"), "common", "prefix")
     side = lambda df, n: df.select("a", *[F.col(c).alias(f"{c}{n}") for c in ("b", "root", "apart", "size", "common")])
     once = (F.col("root1") != F.col("root2")) & (~F.col("apart2") | (F.col("b1") < F.col("b2")))
     needed = THRESHOLD / (1 + THRESHOLD) * (F.col("size1") + F.col("size2")) - 1e-9
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
 
     root_of = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    rest = stored(left_pairs(root_of(root_of(stars, "b"), "a")))
+    rest = stored(left_pairs(stored(root_of(root_of(stars, "b"), "a"))))
     if not rest.isEmpty():
         more = stored(verified(rest, plain)).where(near).select("a", "b")
         links = links.unionByName(more).distinct()
