@@ -19,7 +19,7 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({columns}))"
 
 
-WORD = T.FIRST_WORD.replace("'[./]', ''", "'[./]', '', 'g'")
+WORD = "coalesce(nullif(regexp_replace(split_part(replace(trim(text), chr(10), ' '), ' ', 1), '[./]', '', 'g'), ''), 'x')"
 FILES = f"""
 files AS (
   SELECT '/data' AS root, '/data/parts/' || p_brand || '/' || p_type || '/' || p_name || '_' || p_partkey || '.csv' AS path, 'part' AS source FROM part

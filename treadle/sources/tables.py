@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from treadle.functions.paths import ancestors
 
 ROOT = "/data"
-#: The first word of a text without dots and slashes, or x.
-FIRST_WORD = r"coalesce(nullif(regexp_replace(split_part(replace(trim(text), chr(10), ' '), ' ', 1), '[./]', ''), ''), 'x')"
+#: The first word of a text without dots and slashes, or x; it looks no further into the text than that.
+FIRST_WORD = "coalesce(nullif(regexp_replace(regexp_extract(text, '^ *([^ \n]*)', 1), '[./]', ''), ''), 'x')"
 
 #: Query texts of every kind: root, prefixes, tokens.
 TEXTS = ["", "p", "parts/", "/data/docs/fr", "ring", "ring_1", "a.", "é", ".csv", "small", "Customer#00000001", "_12", "en"]
