@@ -174,6 +174,78 @@ def test_prefix_filter_loses_no_link():
             assert min(len(x & centre), len(y & centre)) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
 
 
+def test_similarities_equal_their_definitions():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        x = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+        a, b = np.sort(rng.permutation(x)[:40]), np.sort(rng.permutation(x)[:45])
+        na, nb = rng.integers(1, 5, len(a)), rng.integers(1, 5, len(b))
+        jaccard, probability, hit = near_dup.similarities(a, na, b, nb)
+        want = near_dup.probability_jaccard(dict(zip(a.tolist(), na.tolist(), strict=True)), dict(zip(b.tolist(), nb.tolist(), strict=True)))
+        common = len({*a.tolist()} & {*b.tolist()})
+        assert abs(probability - want) < 1e-9 and jaccard == common / (len(a) + len(b) - common) and hit.sum() == common
+
+
+def test_weighted_bounds_lose_no_link():
+    rng = random.Random(9)
+    weight, links = (lambda keys: {k: rng.choice([1, 1, 2, 9, 40]) for k in keys}), [0, 0]
+    for _ in range(4000):
+        x = weight([*rng.sample(range(30), rng.randint(1, 30)), *rng.sample(range(100, 115), rng.randint(0, 6))])
+        y = {k: max(1, n + rng.randint(-1, 1)) for k, n in x.items() if rng.random() < 0.95} | weight(rng.sample(range(300, 400), rng.randint(0, 4)))
+        if near_dup.probability_jaccard(x, y) < 0.8:
+            continue
+        first, held, mass = [], [], []
+        for s in (x, y):
+            own = sorted(k for k in s if k >= 30)
+            mass.append(sum(s.values()))
+            held.append(mass[-1] - sum(s[k] for k in own))
+            first.append({*own[: near_dup.mass_prefix(np.array([s[k] for k in own], np.int64), mass[-1], held[-1])]})
+        extras = any(k >= 30 for k in x.keys() & y.keys())
+        links[extras] += 1
+        assert first[0] & first[1] if extras else mass[0] * held[1] + mass[1] * held[0] <= (2.25 + 1e-9) * held[0] * held[1]
+    assert min(links) > 100
+
+
+def test_near_duplicates_link_by_weight(spark):
+    rng = random.Random(10)
+    rows, want = [], {}
+    for group in range(12):
+        passage = invented(rng, 200) * 3  # weight in common 0.83, set Jaccard 0.66
+        for k in range(2):
+            rows.append((2 * group + k, " ".join(passage + invented(rng, 50))))
+            want[2 * group + k] = 2 * group
+    assert max(len(a & b) / len(a | b) for a, b in [(word_shingles(rows[k][1]), word_shingles(rows[k + 1][1])) for k in range(0, 24, 2)]) < 0.8
+    assert {r["id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == want
+
+
+def shingle_weights(text):
+    words = text.split()
+    out = {}
+    for k in range(len(words) - 4):
+        out[tuple(words[k : k + 5])] = out.get(tuple(words[k : k + 5]), 0) + 1
+    return out
+
+
+def test_weighted_links_around_a_centre_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in (30, 60):
+        passage = invented(rng, n)
+        for own in (20, 30, 30, 40, 40, 60):
+            extra = invented(rng, own)
+            rows += [" ".join(passage * rng.randint(3, 5) + extra), " ".join(passage * 4 + extra[: own * 2 // 3] * rng.randint(1, 2))]
+    rows = list(enumerate(rows))
+    sets, text = {i: word_shingles(t) for i, t in rows}, {i: shingle_weights(t) for i, t in rows}
+    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    root = {i: i for i, _ in rows}
+    for i in root:
+        for j in root:
+            if i < j and (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 or near_dup.probability_jaccard(text[i], text[j]) >= 0.8):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert got == root
+
+
 # ---- classifiers
 
 

@@ -1,12 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 A text's words are those of the fingerprints (runs of letters, marks and digits, lower case); its elements are five-word
-shingles (all words, if fewer), weighted by 1 + ln(how often they occur), so that a phrase repeated throughout doesn't make
-two texts alike that share little else. Each element sends arrivals of a Poisson process
+shingles (all words, if fewer), weighted by how often they occur. Each element sends arrivals of a Poisson process
 with its weight as rate into SLOTS slots, from a generator seeded by the element alone; a slot keeps the element that
 arrives first, and an element ends once its next arrival is later than every slot's. The share of equal slots
 estimates the probability Jaccard similarity. BANDS groups of ROWS slots are hashed; texts that share a band are
-candidates, and a pair is a link if the exact Jaccard similarity of its sets of shingles is at least THRESHOLD.
+candidates, and a pair is a link if its exact probability Jaccard or set Jaccard similarity is at least THRESHOLD.
 
 Steps, each linear in its input but for the last:
 1. Texts with the same words are copies, found by a 128-bit digest; the least id stands for them from here on.
@@ -15,8 +14,8 @@ Steps, each linear in its input but for the last:
 3. Links make components by alternating large-star and small-star steps on tables.
 4. Members whose component differs from their centre's may still be a link of other members. Two such texts either share an
    element that the centre lacks, and are found by joining the centre's members on a prefix of those elements; or they have in
-   common only what the centre has too, and the known counts bound their similarity, which rules out nearly all. What is left
-   is verified, and components are made anew.
+   common only what the centre has too, and the known counts and weights bound their similarities, which rules out nearly all.
+   What is left is verified, and components are made anew.
 So every two texts that share a bucket are in one component, or verified, or proven to be no link: none is lost to a cap, and
 pairs inside a component, or of texts that only resemble the same third one, aren't made.
 
@@ -95,9 +94,21 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def damped(counts: np.ndarray) -> np.ndarray:
-    """Weights of elements that occur so often: a phrase repeated a hundred times weighs as much as six others."""
-    return 1 + np.log(counts)
+def similarities(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Set Jaccard and probability Jaccard of two weighted sets, given by ascending elements and their weights; which of y's elements x has."""
+    hit = np.isin(y, x, assume_unique=True)
+    common = int(hit.sum())
+    jaccard = common / max(1, len(x) + len(y) - common)
+    if not common or (nx.max() == 1 and ny.max() == 1):
+        return jaccard, jaccard, hit
+    wx, wy = nx[np.searchsorted(x, y[hit])].astype(np.float64), ny[hit].astype(np.float64)
+    only_x, only_y = float(nx.sum() - wx.sum()), float(ny.sum() - wy.sum())
+    order = np.argsort(wy / wx, kind="stable")
+    wx, wy = wx[order], wy[order]
+    upto = np.searchsorted(wy / wx, wy / wx, side="right")
+    low = np.concatenate([[0.0], np.cumsum(wx)])[upto] + only_x
+    high = wy.sum() - np.concatenate([[0.0], np.cumsum(wy)])[upto] + only_y
+    return jaccard, float((1 / (low / wx + high / wy)).sum()), hit
 
 
 def probability_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
@@ -131,7 +142,7 @@ def signed(plain: DataFrame) -> DataFrame:
                 to = min(max(to, k + 1), k + 2048, batch.num_rows)
                 sets = [shingles(values[offsets[j] : offsets[j + 1]]) for j in range(k, to)]
                 owner = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
-                bands = band_hashes(prob_minhash(np.concatenate([s for s, _ in sets]), damped(np.concatenate([n for _, n in sets])), owner, len(sets)))
+                bands = band_hashes(prob_minhash(np.concatenate([s for s, _ in sets]), np.concatenate([n for _, n in sets]), owner, len(sets)))
                 some = np.array([len(s) > 0 for s, _ in sets])  # texts without words have no bands
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 bands = bands[some]
@@ -143,7 +154,7 @@ def signed(plain: DataFrame) -> DataFrame:
 
 
 def contents(plain: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, elements) of the texts whose ids are asked for: distinct shingle hashes, ascending, as bytes."""
+    """(id, elements, weights) of the texts whose ids are asked for: distinct shingle hashes, ascending, as bytes; weights are empty where all are 1."""
     few = ids.count() <= BROADCAST_IDS
     rows = plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
 
@@ -152,38 +163,48 @@ def contents(plain: DataFrame, ids: DataFrame) -> DataFrame:
             values, offsets = _lists(batch.column(1))
             for k in range(0, batch.num_rows, 256):
                 to = min(k + 256, batch.num_rows)
-                elements = [shingles(values[offsets[j] : offsets[j + 1]])[0].tobytes() for j in range(k, to)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), pa.array(elements, pa.binary())], ["id", "elements"])
+                sets = [shingles(values[offsets[j] : offsets[j + 1]]) for j in range(k, to)]
+                elements = pa.array([s.tobytes() for s, _ in sets], pa.binary())
+                weights = pa.array([n.astype(np.uint32).tobytes() if len(n) and n.max() > 1 else b"" for _, n in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), elements, weights], ["id", "elements", "weights"])
 
-    return rows.mapInArrow(run, "id long, elements binary")
+    return rows.mapInArrow(run, "id long, elements binary, weights binary")
 
 
 def verified(pairs: DataFrame, plain: DataFrame, extras: bool = False) -> DataFrame:
-    """(a, b, jaccard, size_a, size_b, common, prefix) of distinct pairs of ids: exact sizes of their sets of shingles.
+    """(a, b, jaccard, probability, size_a, size_b, common, mass, held, prefix) of distinct pairs of ids: exact similarities, sizes
+    of their sets of shingles, b's weight, and how much of it is on elements that a has.
 
     With ``extras``, ``prefix`` has the least of b's elements that a lacks: as many as two texts that differ from a in their own
     ways, and are a link, can't avoid sharing one of.
     """
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     own = contents(plain, ids)
-    name = lambda side: own.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"))
-    rows = pairs.join(name("b"), "b").join(name("a"), "a").select("a", "b", "ea", "eb")
+    name = lambda side: own.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"), F.col("weights").alias(f"w{side}"))
+    rows = pairs.join(name("b"), "b").join(name("a"), "a").select("a", "b", "ea", "wa", "eb", "wb")
+    kinds = {"jaccard": pa.float64(), "probability": pa.float64(), "size_a": pa.int32(), "size_b": pa.int32(), "common": pa.int32(), "mass": pa.int64(), "held": pa.int64(), "prefix": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        elements = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
-        for batch in batches:
-            found, rest = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = elements(x), elements(y)
-                only = np.setdiff1d(y, x, assume_unique=True)
-                common = len(y) - len(only)
-                union = len(x) + len(only)
-                found.append((common / union if union else 0.0, len(x), len(y), common))
-                rest.append(np.sort(mixed(only))[: prefix_length(len(y), common)].view(np.int64) if extras else [])
-            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] if found else [pa.array([], t) for t in (pa.float64(), pa.int32(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "jaccard", "size_a", "size_b", "common", "prefix"])
+        def weighted(e: pa.Scalar, w: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            e, w = np.frombuffer(e.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.uint32)
+            return e, w.astype(np.int64) if len(w) else np.ones(len(e), np.int64)
 
-    return rows.mapInArrow(run, "a long, b long, jaccard double, size_a int, size_b int, common int, prefix array<bigint>")
+        for batch in batches:
+            found = []
+            for ea, wa, eb, wb in zip(*batch.columns[2:], strict=True):
+                (x, nx), (y, ny) = weighted(ea, wa), weighted(eb, wb)
+                jaccard, probability, hit = similarities(x, nx, y, ny)
+                common, mass, held = int(hit.sum()), int(ny.sum()), int(ny[hit].sum())
+                prefix = []
+                if extras:
+                    only = mixed(y[~hit])
+                    order = np.argsort(only)
+                    prefix = only[order][: max(prefix_length(len(y), common), mass_prefix(ny[~hit][order], mass, held))].view(np.int64)
+                found.append((jaccard, probability, len(x), len(y), common, mass, held, prefix))
+            columns = [pa.array([row[k] for row in found], t) for k, t in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", *kinds])
+
+    return rows.mapInArrow(run, "a long, b long, jaccard double, probability double, size_a int, size_b int, common int, mass long, held long, prefix array<bigint>")
 
 
 def prefix_length(size: int, common: int) -> int:
@@ -197,27 +218,39 @@ def prefix_length(size: int, common: int) -> int:
     return max(0, size - common - needed + 1)
 
 
+def mass_prefix(weights: np.ndarray, mass: int, held: int) -> int:
+    """The same for links by probability Jaccard; ``weights`` are those of the extra elements in the fixed order.
+
+    If x has the share p of its weight on elements of y, and y the share q on elements of x, then the similarity is at most
+    1 / (1 / p + 1 / q - 1). So a link has t of x's weight in common, of which the centre can give ``held``. The first extra
+    that both have is followed, itself included, by at least the rest.
+    """
+    return int((np.cumsum(weights[::-1]) >= THRESHOLD * mass - held - 1e-9).sum())
+
+
 def left_pairs(stars: DataFrame) -> DataFrame:
     """(a, b): pairs of texts around one centre, of different components, that can be a link and weren't verified.
 
     ``stars`` are verified (a, b, ...) with a the centre, and the roots of both. Nothing has to be done where all
     are of the centre's component. Otherwise a link either shares an extra element, one that the centre lacks, and so one in both prefixes; or
-    all it has in common is common with the centre, which bounds it by the known counts.
+    all it has in common is common with the centre, which bounds it by the known counts and weights (see ``mass_prefix``). Where no
+    element repeats in either text both similarities are the same, and the counts are enough.
     """
     apart = F.col("root_b") != F.col("root_a")
     mixed_groups = stored(stars.where(apart).select("a").distinct())
     few = mixed_groups.count() <= BROADCAST_IDS
-    own = stars.join(F.broadcast(mixed_groups) if few else mixed_groups, "a", "left_semi").select("a", "b", F.col("root_b").alias("root"), apart.alias("apart"), F.col("size_b").alias("size"), "common", "prefix")
-    side = lambda df, n: df.select("a", *[F.col(c).alias(f"{c}{n}") for c in ("b", "root", "apart", "size", "common")])
+    names = ("b", "root", "apart", "size", "common", "mass", "held")
+    own = stars.join(F.broadcast(mixed_groups) if few else mixed_groups, "a", "left_semi").select("a", "b", F.col("root_b").alias("root"), apart.alias("apart"), F.col("size_b").alias("size"), "common", F.col("mass").cast("double").alias("mass"), F.col("held").cast("double").alias("held"), "prefix")
+    side = lambda df, n, *more: df.select("a", *more, *[F.col(c).alias(f"{c}{n}") for c in names])
     once = (F.col("root1") != F.col("root2")) & (~F.col("apart2") | (F.col("b1") < F.col("b2")))
     needed = THRESHOLD / (1 + THRESHOLD) * (F.col("size1") + F.col("size2")) - 1e-9
-    within = side(own.where("apart"), 1).join(side(own, 2), "a").where(once & (F.least("common1", "common2") >= needed))
-    lines = own.select("a", "b", "root", "apart", "size", "common", F.explode("prefix").alias("e"))
-    one = lines.where("apart").select("a", "e", *[F.col(c).alias(f"{c}1") for c in ("b", "root", "apart", "size", "common")])
-    two = lines.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "root", "apart", "size", "common")])
+    repeats = (F.col("mass1") > F.col("size1")) | (F.col("mass2") > F.col("size2"))
+    heavy = repeats & (F.col("mass1") * F.col("held2") + F.col("mass2") * F.col("held1") <= (1 + 1 / THRESHOLD + 1e-9) * F.col("held1") * F.col("held2"))
+    within = side(own.where("apart"), 1).join(side(own, 2), "a").where(once & ((F.least("common1", "common2") >= needed) | heavy))
+    lines = own.select("a", *names, F.explode("prefix").alias("e"))
     extra = lambda n: F.col(f"size{n}") - F.col(f"common{n}")
     enough = F.least("common1", "common2") + F.least(extra(1), extra(2)) >= needed
-    shared = one.join(two, ["a", "e"]).where(once & enough)
+    shared = side(lines.where("apart"), 1, "e").join(side(lines, 2, "e"), ["a", "e"]).where(once & (enough | repeats))
     pair = lambda df: df.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
     return pair(within).unionByName(pair(shared)).distinct()
 
@@ -254,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(shared.join(centres, "bucket").select("bucket", "rep", "centre"))
     pairs = stored(shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     stars = stored(verified(pairs, plain, extras=True))
-    near = F.col("jaccard") >= THRESHOLD
+    near = (F.col("jaccard") >= THRESHOLD) | (F.col("probability") >= THRESHOLD)
     links = stars.where(near).select("a", "b")
     roots = components(links)
 
