@@ -218,6 +218,16 @@ def test_near_duplicates_link_by_weight(spark):
     assert {r["id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_meet_in_spite_of_repeats(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):  # set Jaccard 0.85, probability Jaccard 0.1
+        words = invented(rng, 60)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + invented(rng, 6) * 100))]
+    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def shingle_weights(text):
     words = text.split()
     out = {}
