@@ -315,6 +315,12 @@ def test_tables_equal_plain_convolution():
         assert np.allclose(got[k], np.maximum(np.concatenate(pooled) + net.shift, 0) @ net.out + net.bias, atol=1e-4)
 
 
+def test_quality_reads_whole_tokens():
+    long = "a" * 100
+    assert quality.token_features(long + "b")[0] != quality.token_features(long + "c")[0]
+    assert quality.shape(long + "9BC") == "a9A" and quality.token_features(long)[1] != quality.token_features(long + "9")[1]
+
+
 def test_quality_has_ordered_thresholds(spark):
     rng = random.Random(10)
     rows = []

@@ -35,14 +35,14 @@ _RUNS = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 
 def _bucket(kind: str, value: str) -> int:
     h = 1469598103
-    for c in f"{kind}:{value}"[:64]:
+    for c in f"{kind}:{value}":
         h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
     return h % BUCKETS
 
 
 def shape(token: str) -> str:
     out = []
-    for run in _RUNS.findall(token[:64]):
+    for run in _RUNS.findall(token):
         kind = ("A" if run.isupper() and len(run) > 1 else "Aa" if run[0].isupper() else "a") if run[0].isalpha() else "9" if run[0].isdigit() else run
         if not out or out[-1] != kind:
             out.append(kind)
