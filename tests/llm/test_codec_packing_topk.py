@@ -127,6 +127,19 @@ def test_top_k_is_exact(spark, monkeypatch, broadcast):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in (rng.normal(size=6) * size).astype(np.float32)]) for k, size in enumerate([1, 300_000, 1e6] * 20)]
+    rows += [(100, [1e12, 0.0, 1.0]), (101, [0.0, 3e12, 5.0]), (105, [1e12, 1e12, -2.0]), (110, [-1e12, -1e12, 7.0]), (102, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    some = df.where("vec_id <> 105 and vec_id <> 110")
+    left = [r for r in rows if r[0] not in (105, 110)]
+    got = sorted(tuple(r) for r in topk.top_k(some, F.col("vec_id") % 5 == 0, k=10).collect())
+    assert got == brute(left, 10)
+    with pytest.raises(Exception, match="OVERFLOW"):  # 105 with 100
+        topk.top_k(df, F.col("vec_id") % 5 == 0, k=10).collect()
+
+
 def test_bounds_prune_pairs():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 64)) * 3

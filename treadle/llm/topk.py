@@ -12,7 +12,8 @@ the join shuffles them, with the candidate blocks of one query block spread by a
 each query of one query block.
 
 A null vector, or one with a null or non-finite component, takes no part; neither does a null id. Whole-number
-components are held within +-2^27, so that a product of up to 512 dimensions fits into a long. Vectors of different
+components are doubles, exact at any size. Products are taken in doubles or longs where the largest components can't exceed them, in
+Python's integers otherwise; a score in the result that doesn't fit into a long is an error. Vectors of different
 lengths aren't compared. A row is no candidate for queries of its own id. Repeated rows of one id and vector count
 once; different vectors under one id are queries of their own. Ties go to the smaller id. Further columns aren't read.
 An empty table gives no rows.
@@ -21,6 +22,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -30,13 +32,14 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 BROADCAST_BYTES = 32_000_000
-LIMIT = 1 << 27
+WHOLE = 2.0**53  # doubles from here on are whole numbers
 SALTS = 16
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
     """(id, dims, v) with whole-number components; rows that take no part are gone."""
-    x = F.transform(F.col(vec_col), lambda c: F.floor(F.least(F.greatest(c.cast("double") * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
+    floor = lambda y: F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)
+    x = F.transform(F.col(vec_col), lambda c: floor(c.cast("double") * scale))
     fine = F.forall(F.col(vec_col), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dims"), x.alias("v")).dropDuplicates(["id", "v"])
 
@@ -46,7 +49,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for dims, part in pdf.groupby("dims", sort=True):
         part = part.sort_values("id", kind="stable")
-        matrix = np.vstack([np.asarray(v, np.int32) for v in part["v"]]) if dims else np.zeros((len(part), 0), np.int32)
+        matrix = np.vstack([np.asarray(v, np.float64) for v in part["v"]]) if dims else np.zeros((len(part), 0))
         out.append({"dims": int(dims), "ids": part["id"].to_numpy(np.int64).tobytes(), "matrix": matrix.tobytes(), "n": len(part)})
     return pd.DataFrame(out, columns=["dims", "ids", "matrix", "n"])
 
@@ -69,8 +72,7 @@ class Best:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
         self.ids, self.k, self.x = ids, k, matrix.astype(np.float64)
-        self.whole = matrix.astype(np.int64)
-        self.most = int(np.abs(self.whole).max(initial=0))
+        self.most = int(np.abs(self.x).max(initial=0))
         self.levels = [s for s in (1, 4, 16) if 2 * s < max(matrix.shape[1], 1)]
         self.stats = [segment_statistics(self.x, s) for s in self.levels]
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
@@ -91,19 +93,26 @@ class Best:
             for q, c in zip(self.stats, stats, strict=True):
                 share = alive.mean()
                 if share > 0.2:
-                    alive &= q @ c.T + slack >= self.floor[:, None]
+                    alive &= ~(q @ c.T + slack < self.floor[:, None])  # what overflows to NaN stays
                 else:
                     r, k = np.nonzero(alive)
-                    alive[r, k] = np.einsum("ij,ij->i", q[r], c[k]) + slack[r, k] >= self.floor[r]
+                    alive[r, k] = ~(np.einsum("ij,ij->i", q[r], c[k]) + slack[r, k] < self.floor[r])
         alive &= self.ids[:, None] != ids[None, :]
-        small = matrix.shape[1] * self.most * int(np.abs(matrix.astype(np.int64)).max(initial=0)) < 2**53
-        whole = matrix.astype(np.int64)
-        if small and alive.mean() > 0.05:
+        most = int(np.abs(x).max(initial=0))
+        bound = matrix.shape[1] * max(1, self.most) * max(1, most)
+        if bound < 2**53 and alive.mean() > 0.05:
             rows = [(r, np.flatnonzero(alive[r])) for r in np.flatnonzero(alive.any(1))]
             products = self.x @ x.T  # whole numbers below 2^53: exact
             scored = [(r, k, products[r, k].astype(np.int64)) for r, k in rows]
+        elif bound < 2**63:
+            whole = x.astype(np.int64)
+            scored = [(r, k, whole[k] @ self.x[r].astype(np.int64)) for r in np.flatnonzero(alive.any(1)) for k in [np.flatnonzero(alive[r])]]
         else:
-            scored = [(r, k, whole[k] @ self.whole[r]) for r in np.flatnonzero(alive.any(1)) for k in [np.flatnonzero(alive[r])]]
+            whole = [[int(v) for v in row] for row in x]
+            scored = []
+            for r in np.flatnonzero(alive.any(1)):
+                k, own = np.flatnonzero(alive[r]), [int(v) for v in self.x[r]]
+                scored.append((r, k, np.array([sum(map(int.__mul__, whole[c], own)) for c in k], object)))
         for r, k, score in scored:
             self.exact_pairs += len(k)
             s0, i0 = self.found[r]
@@ -111,7 +120,7 @@ class Best:
             if len(s) > 4 * self.k:  # only those that can still be among the best, ties included
                 near = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
                 s, i = s[near], i[near]
-            order = np.lexsort((i, -s))[: self.k]
+            order = np.lexsort((i, -s))[: self.k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda n: (-s[n], i[n]))[: self.k], np.int64)
             self.found[r] = s[order], i[order]
             if len(order) == self.k:
                 self.floor[r] = s[order[-1]]
@@ -135,7 +144,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     queries = queries.select(F.col("block").alias("q_block"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     candidates = whole.withColumn("block", number(groups, "c")).groupBy("block").applyInPandas(pack, f"{packed}, block int")
     candidates = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if n_queries * (8 + 4 * (dims or 0)) <= BROADCAST_BYTES:
+    if n_queries * (8 + 8 * (dims or 0)) <= BROADCAST_BYTES:
         pairs = candidates.join(F.broadcast(queries), (candidates["q_block"] == queries["q_block"]) & (candidates["dims"] == queries["q_dims"])).drop(queries["q_block"])
     else:
         queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -145,7 +154,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush() -> pd.DataFrame:
-            rows = [(int(best.ids[r]), best.x[r].astype(np.int32).tobytes(), int(i), int(s)) for r in range(len(best.ids)) for s, i in zip(*best.found[r], strict=True)]
+            rows = [(int(best.ids[r]), best.x[r].tobytes(), int(i), Decimal(int(s))) for r in range(len(best.ids)) for s, i in zip(*best.found[r], strict=True)]
             return pd.DataFrame(rows, columns=["query_id", "query", "vec_id", "score"])
 
         at, best = None, None
@@ -155,14 +164,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                     if best is not None:
                         yield flush()
                     own = np.frombuffer(q_ids, np.int64)
-                    at, best = (q_block, d), Best(own, np.frombuffer(q_matrix, np.int32).reshape(len(own), d), k)
+                    at, best = (q_block, d), Best(own, np.frombuffer(q_matrix, np.float64).reshape(len(own), d), k)
                 n = np.frombuffer(ids, np.int64)
-                best.add(n, np.frombuffer(matrix, np.int32).reshape(len(n), d))
+                best.add(n, np.frombuffer(matrix, np.float64).reshape(len(n), d))
         if best is not None:
             yield flush()
 
-    found = pairs.mapInPandas(search, "query_id long, query binary, vec_id long, score long")
+    found = pairs.mapInPandas(search, "query_id long, query binary, vec_id long, score decimal(38,0)")
     by = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
