@@ -218,6 +218,14 @@ def test_near_duplicates_link_by_weight(spark):
     assert {r["id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_name_their_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:-1], f"end{k}"])) for k in range(6)]
+    found = near_dup.near_duplicates(docs(spark, rows))
+    assert found.columns == ["id", "copy_of", "class_id", "verified_links"]
+    assert all(r["class_id"] == 0 and 1 <= r["verified_links"] <= 5 for r in found.collect())
+
+
 def test_near_duplicates_meet_in_spite_of_repeats(spark):
     rng = random.Random(12)
     rows = []

@@ -279,7 +279,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, copy_of, class_id, links): the least id with the same words, the least id of the group, and how many links the words have."""
+    """(id, copy_of, class_id, verified_links): the least id with the same words, the least id of the group, and how many of the words'
+    links were verified: those with centres, and what step 4 adds. Pairs inside a component aren't counted."""
     plain = _plain(docs, id_col, text_col)
     rows = stored(signed(plain))
     classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
@@ -301,14 +302,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = stored(verified(rest, plain)).where(near).select("a", "b")
         links = links.unionByName(more).distinct()
         roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("verified_links"))
     # only texts with copies need a look-up; a salt deals out the rows of a text that has very many
     several = classes.where("copies > 1").select("d1", "d2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     named = rows.select("id", "d1", "d2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     named = named.join(several, ["d1", "d2", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     named = named.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return named.groupBy("id").agg(F.min(F.struct("class_id", "copy_of", "links")).alias("x")).select("id", "x.copy_of", "x.class_id", "x.links")
+    named = named.select("id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("verified_links", F.lit(0)).alias("verified_links"))
+    return named.groupBy("id").agg(F.min(F.struct("class_id", "copy_of", "verified_links")).alias("x")).select("id", "x.copy_of", "x.class_id", "x.verified_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
