@@ -141,13 +141,26 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_odd_rows(spark):
     rows = [(4, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (2, "A b, c d e f g!"), (9, None), (8, "")]
     found = near_dup.near_duplicates(docs(spark, rows))
-    assert sorted(tuple(r) for r in found.select("id", "copy_of", "class_id").collect()) == [(2, 2, 2), (4, 2, 2), (8, 8, 8), (9, 8, 8)]
+    assert sorted(tuple(r) for r in found.select("id", "copy_of", "class_id").collect()) == [(2, 2, 2), (4, 2, 2), (4, 2, 2), (8, 8, 8), (9, 8, 8)]
     kept = near_dup.keep_one(docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "n_removed", "id"]
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 8]
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0 and near_dup.keep_one(docs(spark, [])).count() == 0
 
 
+def test_different_texts_under_one_id_are_kept_apart(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (4, "alone"), (5, b), (None, a)]
+    found = near_dup.near_duplicates(docs(spark, rows)).collect()
+    assert len(found) == 7 and len({(r["class_id"], r["class_text"]) for r in found}) == 3
+    assert sorted((r["id"], r["copy_of"], r["class_id"]) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1), (4, 4, 4), (5, 1, 1)]
+    kept = near_dup.keep_one(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, a), (1, a), (1, b), (4, "alone")])
+    rows = [(3, b), (3, b), (3, b.upper()), (4, a), (4, a)]
+    kept = [sorted(tuple(r) for r in near_dup.keep_one(docs(spark, rows[::way])).collect()) for way in (1, -1)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
+
+
 def test_slots_estimate_probability_jaccard():
     rng = np.random.default_rng(5)
     x = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
@@ -158,22 +171,6 @@ def test_slots_estimate_probability_jaccard():
     assert abs((own[0] == own[1]).mean() - want) < 0.04
 
 
-def test_prefix_filter_loses_no_link():
-    rng = random.Random(6)
-    centre = set(range(80))
-    for _ in range(3000):
-        shared_extra = rng.sample(range(100, 140), rng.randint(0, 20))
-        x = set(rng.sample(range(80), rng.randint(50, 80))) | set(shared_extra) | set(rng.sample(range(200, 300), rng.randint(0, 8)))
-        y = set(rng.sample(sorted(x), rng.randint(int(0.85 * len(x)), len(x)))) | set(rng.sample(range(300, 400), rng.randint(0, 8)))
-        if len(x & y) / len(x | y) < 0.8:
-            continue
-        prefix = lambda s: set(sorted(s - centre)[: near_dup.prefix_length(len(s), len(s & centre))])
-        if (x & y) - centre:
-            assert prefix(x) & prefix(y)
-        else:
-            assert min(len(x & centre), len(y & centre)) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
-
-
 def test_similarities_equal_their_definitions():
     rng = np.random.default_rng(8)
     for _ in range(50):
@@ -186,24 +183,42 @@ def test_similarities_equal_their_definitions():
         assert abs(probability - want) < 1e-9 and jaccard == common / (len(a) + len(b) - common) and hit.sum() == common
 
 
-def test_weighted_bounds_lose_no_link():
+def star_rows(centre, members):
+    """What verification says of members of a centre; sets are dicts of weights."""
+    out = []
+    for k, x in enumerate(members):
+        more = {e: n for e, n in x.items() if e not in centre}
+        out.append(((0, 0), (k + 1, 0), 0.0, 0.0, len(x), len(x) - len(more), sum(x.values()), sum(x.values()) - sum(more.values()), list(more), list(more.values())))
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1], [1, 1, 2, 9, 40]])
+def test_groups_lose_no_link(spark, weights):
     rng = random.Random(9)
-    weight, links = (lambda keys: {k: rng.choice([1, 1, 2, 9, 40]) for k in keys}), [0, 0]
-    for _ in range(4000):
-        x = weight([*rng.sample(range(30), rng.randint(1, 30)), *rng.sample(range(100, 115), rng.randint(0, 6))])
-        y = {k: max(1, n + rng.randint(-1, 1)) for k, n in x.items() if rng.random() < 0.95} | weight(rng.sample(range(300, 400), rng.randint(0, 4)))
-        if near_dup.probability_jaccard(x, y) < 0.8:
-            continue
-        first, held, mass = [], [], []
-        for s in (x, y):
-            own = sorted(k for k in s if k >= 30)
-            mass.append(sum(s.values()))
-            held.append(mass[-1] - sum(s[k] for k in own))
-            first.append({*own[: near_dup.mass_prefix(np.array([s[k] for k in own], np.int64), mass[-1], held[-1])]})
-        extras = any(k >= 30 for k in x.keys() & y.keys())
-        links[extras] += 1
-        assert first[0] & first[1] if extras else mass[0] * held[1] + mass[1] * held[0] <= (2.25 + 1e-9) * held[0] * held[1]
-    assert min(links) > 100
+    weight = lambda keys: {k: rng.choice(weights) for k in keys}
+    centre, members = set(range(40)), []
+    common = rng.sample(range(500, 600), 12)  # popular, but not with the centre
+    for _ in range(60):
+        x = weight([*rng.sample(range(40), rng.randint(10, 40)), *rng.sample(range(100, 140), rng.randint(0, 20)), *rng.sample(common, rng.choice([0, 0, 10, 12]))])
+        members.append(x)
+        for _ in range(2):
+            y = {k: max(1, n + rng.randint(-1, 1)) if len(weights) > 1 else 1 for k, n in x.items() if rng.random() < 0.95}
+            members.append(y | weight(rng.sample(range(1000, 2000), rng.randint(0, 4))))
+    stars = spark.createDataFrame(star_rows(centre, members), f"a {near_dup.KEY}, b {near_dup.KEY}, jaccard double, probability double, size long, common long, mass long, held long, extra array<bigint>, weight array<bigint>")
+    roots = spark.createDataFrame([], f"id {near_dup.KEY}, root {near_dup.KEY}")
+    groups = near_dup.stored(near_dup.groups_of(stars, roots))
+    met = groups.alias("x").join(groups.alias("y"), near_dup.GROUP).where("x.b.id < y.b.id").where(near_dup.possible("x", "y", F.col("within")))
+    met = {(r[0], r[1], r[2]) for r in met.select("x.b.id", "y.b.id", "within").collect()}
+    links = {True: 0, False: 0}
+    for i, x in enumerate(members):
+        for j, y in enumerate(members[:i]):
+            same = x.keys() & y.keys()
+            if max(len(same) / len(x.keys() | y.keys()), near_dup.probability_jaccard(x, y)) >= 0.8:
+                within = same <= centre
+                links[within] += 1
+                assert (j + 1, i + 1, within) in met
+    assert links[False] > 30 and links[True] > 0
+    assert len({p[:2] for p in met}) < len(members) * (len(members) - 1) / 4
 
 
 def test_near_duplicates_link_by_weight(spark):
@@ -222,7 +237,7 @@ def test_near_duplicates_name_their_links(spark):
     words = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join([*words[:-1], f"end{k}"])) for k in range(6)]
     found = near_dup.near_duplicates(docs(spark, rows))
-    assert found.columns == ["id", "copy_of", "class_id", "verified_links"]
+    assert found.columns == ["id", "copy_of", "class_id", "class_text", "verified_links"]
     assert all(r["class_id"] == 0 and 1 <= r["verified_links"] <= 5 for r in found.collect())
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treadle.plans.storage import stored
+from treadle.plans.storage import release, stored
 
-__all__ = ["hash_sample", "in_fold", "let", "stored", "table"]
+__all__ = ["hash_sample", "in_fold", "let", "release", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

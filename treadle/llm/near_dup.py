@@ -6,44 +6,55 @@ with its weight as rate into SLOTS slots, from a generator seeded by the element
 arrives first, and an element ends once its next arrival is later than every slot's. The share of equal slots
 estimates the probability Jaccard similarity. BANDS groups of ROWS slots are hashed; a text in which an element repeats
 has as many bands again from weights of 1, whose slots estimate the set Jaccard similarity. Texts that share a band are
-candidates: a pair of similarity s by either measure is missed with chance (1 - s^ROWS)^BANDS at most, 0.0004 at 0.8. A pair is a link if its exact probability Jaccard or set Jaccard similarity is at least THRESHOLD.
+candidates: a pair of similarity s by either measure is missed with chance (1 - s^ROWS)^BANDS at most, 0.0004 at 0.8. A pair is a
+link if its exact probability Jaccard or set Jaccard similarity is at least THRESHOLD.
 
-Steps, each linear in its input but for the last:
-1. Texts with the same words are copies, found by a 128-bit digest; the least id stands for them from here on.
+1. Texts with the same words are copies, found by a 128-bit digest. The least id stands for them from here on, together
+   with the digest, as one id may come with several texts.
 2. In each band bucket every member is paired with a centre, and the pair is verified. The centre is the member that meets most
    others over all its buckets (ties: the least id): of many copies of one text, that is the text they come from.
 3. Links make components by alternating large-star and small-star steps on tables.
-4. Members whose component differs from their centre's may still be a link of other members. Two such texts either share an
-   element that the centre lacks, and are found by joining the centre's members on a prefix of those elements; or they have in
-   common only what the centre has too, and the known counts and weights bound their similarities, which rules out nearly all.
-   What is left is verified, and components are made anew.
+4. Members of one centre that are of different components may still be a link. Two such texts share an element that the centre
+   lacks, or what they have in common is common with the centre, which the known counts and weights bound. So the centre's members make
+   smaller groups: one of those that the bound leaves possible, and one for each element that the centre lacks and that
+   a prefix of two members' further elements holds, rarest first (see ``prefixes``). In each group CENTRES members are verified
+   against the others that can be a link, components are merged, and the members leave the group; a group of one component is
+   closed, and in the rest it goes on with GROWTH times as many, until every group is closed.
+
 So every two texts that share a bucket are in one component, or verified, or proven to be no link: none is lost to a cap, and
-pairs inside a component, or of texts that only resemble the same third one, aren't made.
+pairs inside a component, or of texts that only resemble the same third one, aren't made. The texts' shingles are kept in the
+shared folder for that, of candidates only, and are computed once.
 
-Null and empty texts are copies of each other; texts without words are copies if equal but for outer spaces. Rows that repeat an
-id count once, with the least of their texts' groups if those differ; rows with a null id take no part. Ties go to
-the least id. Further columns aren't read. An empty table gives no rows.
+Null and empty texts are copies of each other; texts without words are copies if equal but for outer spaces. Every row with an id
+gets a result; rows that repeat an id have the same one if their texts are copies, and otherwise each that of its text. Rows
+with a null id take no part. Ties go to the least id. Further columns aren't read. Texts may be of any length; one text's
+shingles are held in memory at a time with its partner's. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treadle.llm.common import stored
+from treadle.llm.common import release, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SLOTS = BANDS * ROWS
-#: Ids of texts to verify are broadcast up to this many (16 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Tables of keys are broadcast up to this many rows (40 bytes each at most); beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 SALTS = 16
+#: Members of each open group that a first round verifies against the others, and by how much that grows each round.
+CENTRES, GROWTH = 4, 4
+#: Two sets of similarity THRESHOLD have at least this share of their sizes' sum in common.
+SHARE = THRESHOLD / (1 + THRESHOLD)
+KEY = "struct<id: bigint, tag: bigint>"
+GROUP = ["a", "within", "e"]
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,11 +139,15 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).view(np.uint64), offsets
 
 
+def _digest(*salt: Column) -> Column:
+    """Of a text's words; of the text but for outer spaces, if it has none."""
+    return F.xxhash64(*salt, F.col("words"), F.when(F.size("words") > 0, F.lit("")).otherwise(F.col("bare")))
+
+
 def signed(plain: DataFrame) -> DataFrame:
     """(id, d1, d2, bands): the digest of a text's words and its band hashes, in one pass over the texts."""
     rows = plain.select("id", word_hashes(F.col("text")).alias("words"), F.trim("text").alias("bare"))
-    of = F.when(F.size("words") > 0, F.lit("")).otherwise(F.col("bare"))
-    rows = rows.select("id", F.xxhash64(F.col("words"), of).alias("d1"), F.xxhash64(F.lit("second"), F.col("words"), of).alias("d2"), "words")
+    rows = rows.select("id", _digest().alias("d1"), _digest(F.lit("second")).alias("d2"), "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +172,15 @@ def signed(plain: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, d1 long, d2 long, bands array<bigint>")
 
 
-def contents(plain: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, elements, weights) of the texts whose ids are asked for: distinct shingle hashes, ascending, as bytes; weights are empty where all are 1."""
-    few = ids.count() <= BROADCAST_IDS
-    rows = plain.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def contents(plain: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, elements, weights) of the texts that are asked for: distinct shingle hashes, ascending, as bytes; weights are empty where all are 1."""
+    rows = plain.join(small(stored(keys.select("key.id").distinct())), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"), F.trim("text").alias("bare"))
+    rows = rows.select(F.struct("id", _digest().alias("tag")).alias("key"), "words").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,23 +190,20 @@ def contents(plain: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [shingles(values[offsets[j] : offsets[j + 1]]) for j in range(k, to)]
                 elements = pa.array([s.tobytes() for s, _ in sets], pa.binary())
                 weights = pa.array([n.astype(np.uint32).tobytes() if len(n) and n.max() > 1 else b"" for _, n in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), elements, weights], ["id", "elements", "weights"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), elements, weights], ["key", "elements", "weights"])
 
-    return rows.mapInArrow(run, "id long, elements binary, weights binary")
+    return rows.mapInArrow(run, f"key {KEY}, elements binary, weights binary")
 
 
-def verified(pairs: DataFrame, plain: DataFrame, extras: bool = False) -> DataFrame:
-    """(a, b, jaccard, probability, size_a, size_b, common, mass, held, prefix) of distinct pairs of ids: exact similarities, sizes
-    of their sets of shingles, b's weight, and how much of it is on elements that a has.
+def verified(pairs: DataFrame, own: DataFrame, extras: bool = False) -> DataFrame:
+    """(a, b, jaccard, probability, size, common, mass, held, extra, weight) of distinct pairs of keys, with the ``contents`` of
+    both: exact similarities, b's number of elements and how many of them a has, b's weight and how much of it is on those.
 
-    With ``extras``, ``prefix`` has the least of b's elements that a lacks: as many as two texts that differ from a in their own
-    ways, and are a link, can't avoid sharing one of.
+    With ``extras``, ``extra`` and ``weight`` have b's elements that a lacks, and their weights.
     """
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    own = contents(plain, ids)
-    name = lambda side: own.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"), F.col("weights").alias(f"w{side}"))
+    name = lambda side: own.select(F.col("key").alias(side), F.col("elements").alias(f"e{side}"), F.col("weights").alias(f"w{side}"))
     rows = pairs.join(name("b"), "b").join(name("a"), "a").select("a", "b", "ea", "wa", "eb", "wb")
-    kinds = {"jaccard": pa.float64(), "probability": pa.float64(), "size_a": pa.int32(), "size_b": pa.int32(), "common": pa.int32(), "mass": pa.int64(), "held": pa.int64(), "prefix": pa.list_(pa.int64())}
+    kinds = {"jaccard": pa.float64(), "probability": pa.float64(), "size": pa.int64(), "common": pa.int64(), "mass": pa.int64(), "held": pa.int64(), "extra": pa.list_(pa.int64()), "weight": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weighted(e: pa.Scalar, w: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -194,128 +211,187 @@ def verified(pairs: DataFrame, plain: DataFrame, extras: bool = False) -> DataFr
             return e, w.astype(np.int64) if len(w) else np.ones(len(e), np.int64)
 
         for batch in batches:
-            found = []
-            for ea, wa, eb, wb in zip(*batch.columns[2:], strict=True):
-                (x, nx), (y, ny) = weighted(ea, wa), weighted(eb, wb)
-                jaccard, probability, hit = similarities(x, nx, y, ny)
-                common, mass, held = int(hit.sum()), int(ny.sum()), int(ny[hit].sum())
-                prefix = []
-                if extras:
-                    only = mixed(y[~hit])
-                    order = np.argsort(only)
-                    prefix = only[order][: max(prefix_length(len(y), common), mass_prefix(ny[~hit][order], mass, held))].view(np.int64)
-                found.append((jaccard, probability, len(x), len(y), common, mass, held, prefix))
-            columns = [pa.array([row[k] for row in found], t) for k, t in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", *kinds])
-
-    return rows.mapInArrow(run, "a long, b long, jaccard double, probability double, size_a int, size_b int, common int, mass long, held long, prefix array<bigint>")
-
-
-def prefix_length(size: int, common: int) -> int:
-    """How many of a text's extra elements, in a fixed order, are enough to meet any link that shares an extra element.
-
-    A link of sets x and y has at least t / (1 + t) * (|x| + |y|) elements in common, so t * |x| at least, of which the
-    centre can give ``common``; the other k are extras of both. Two sets that share k elements share one among the first
-    n - k + 1 of each.
-    """
-    needed = max(1, math.ceil(THRESHOLD * size - common - 1e-9))
-    return max(0, size - common - needed + 1)
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                for ea, wa, eb, wb in zip(*part.columns[2:], strict=True):
+                    (x, nx), (y, ny) = weighted(ea, wa), weighted(eb, wb)
+                    jaccard, probability, hit = similarities(x, nx, y, ny)
+                    more = (y[~hit].view(np.int64), ny[~hit]) if extras else ([], [])
+                    found.append((jaccard, probability, len(y), int(hit.sum()), int(ny.sum()), int(ny[hit].sum()), *more))
+                columns = [pa.array([row[k] for row in found], t) for k, t in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["a", "b", *kinds])
 
+    return rows.mapInArrow(run, f"a {KEY}, b {KEY}, jaccard double, probability double, size long, common long, mass long, held long, extra array<bigint>, weight array<bigint>")
 
-def mass_prefix(weights: np.ndarray, mass: int, held: int) -> int:
-    """The same for links by probability Jaccard; ``weights`` are those of the extra elements in the fixed order.
 
-    If x has the share p of its weight on elements of y, and y the share q on elements of x, then the similarity is at most
-    1 / (1 / p + 1 / q - 1). So a link has t of x's weight in common, of which the centre can give ``held``. The first extra
-    that both have is followed, itself included, by at least the rest.
-    """
-    return int((np.cumsum(weights[::-1]) >= THRESHOLD * mass - held - 1e-9).sum())
+def near() -> Column:
+    return (F.col("jaccard") >= THRESHOLD) | (F.col("probability") >= THRESHOLD)
+
+
+def with_root(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
+    """``df`` with the root of column ``of``; a key that ``roots`` lacks is its own."""
+    known = roots.select(F.col("id").alias(of), F.col("root").alias(name))
+    return df.join(known, of, "left").withColumn(name, F.coalesce(name, of))
 
 
-def left_pairs(stars: DataFrame) -> DataFrame:
-    """(a, b): pairs of texts around one centre, of different components, that can be a link and weren't verified.
+def possible(x: str, y: str, within: Column) -> Column:
+    """Whether two members of a centre can be a link, from what each has in common with it.
 
-    ``stars`` are verified (a, b, ...) with a the centre, and the roots of both. Nothing has to be done where all
-    are of the centre's component. Otherwise a link either shares an extra element, one that the centre lacks, and so one in both prefixes; or
-    all it has in common is common with the centre, which bounds it by the known counts and weights (see ``mass_prefix``). Where no
-    element repeats in either text both similarities are the same, and the counts are enough.
+    If all that they have in common is common with the centre (``within``), it's at most the lesser ``common``; otherwise the lesser
+    number of further elements comes on top. Two sets have SHARE of their sizes in common at least. By weight: if x has the share p
+    of its weight on elements of y, and y the share q on elements of x, the similarity is at most 1 / (1 / p + 1 / q - 1). Where
+    no element repeats in either text both similarities are the same, and the counts are enough.
     """
-    apart = F.col("root_b") != F.col("root_a")
-    mixed_groups = stored(stars.where(apart).select("a").distinct())
-    few = mixed_groups.count() <= BROADCAST_IDS
-    names = ("b", "root", "apart", "size", "common", "mass", "held")
-    own = stars.join(F.broadcast(mixed_groups) if few else mixed_groups, "a", "left_semi").select("a", "b", F.col("root_b").alias("root"), apart.alias("apart"), F.col("size_b").alias("size"), "common", F.col("mass").cast("double").alias("mass"), F.col("held").cast("double").alias("held"), "prefix")
-    side = lambda df, n, *more: df.select("a", *more, *[F.col(c).alias(f"{c}{n}") for c in names])
-    once = (F.col("root1") != F.col("root2")) & (~F.col("apart2") | (F.col("b1") < F.col("b2")))
-    needed = THRESHOLD / (1 + THRESHOLD) * (F.col("size1") + F.col("size2")) - 1e-9
-    repeats = (F.col("mass1") > F.col("size1")) | (F.col("mass2") > F.col("size2"))
-    heavy = repeats & (F.col("mass1") * F.col("held2") + F.col("mass2") * F.col("held1") <= (1 + 1 / THRESHOLD + 1e-9) * F.col("held1") * F.col("held2"))
-    within = side(own.where("apart"), 1).join(side(own, 2), "a").where(once & ((F.least("common1", "common2") >= needed) | heavy))
-    lines = own.select("a", *names, F.explode("prefix").alias("e"))
-    extra = lambda n: F.col(f"size{n}") - F.col(f"common{n}")
-    enough = F.least("common1", "common2") + F.least(extra(1), extra(2)) >= needed
-    shared = side(lines.where("apart"), 1, "e").join(side(lines, 2, "e"), ["a", "e"]).where(once & (enough | repeats))
-    pair = lambda df: df.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
-    return pair(within).unionByName(pair(shared)).distinct()
+    of = lambda side, c: F.col(f"{side}.{c}")
+    least = F.least(of(x, "common"), of(y, "common"))
+    more = F.when(within, 0).otherwise(F.least(of(x, "size") - of(x, "common"), of(y, "size") - of(y, "common")))
+    counts = least + more >= SHARE * (of(x, "size") + of(y, "size")) - 1e-9
+    p, q = of(x, "held") / of(x, "mass"), of(y, "held") / of(y, "mass")
+    repeats = (of(x, "mass") > of(x, "size")) | (of(y, "mass") > of(y, "size"))
+    return counts | (repeats & (~within | (1 / p + 1 / q <= 1 + 1 / THRESHOLD + 1e-9)))
+
+
+def prefixes(own: DataFrame) -> DataFrame:
+    """(a, e, b): the elements by which members of a centre can meet that share some which the centre lacks.
+
+    Such elements of a member are put in order, the rarest among the centre's members first. A link of sets x and y has at least
+    THRESHOLD * |x| elements in common, of which the centre can give ``common``; by weight, the same holds of x's weight and
+    ``held``. The first shared element is followed, itself included, by all the other shared ones, so only elements that so many
+    (or so much weight) follow have to be looked at. Those that no other member has come first and are left out.
+    """
+    lines = own.select("a", "b", "size", "common", "mass", "held", F.explode(F.arrays_zip("extra", "weight")).alias("x")).select("*", F.col("x.extra").alias("e"), F.col("x.weight").alias("w")).drop("x")
+    often = stored(lines.groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1"))
+    after = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.join(small(often), ["a", "e"]).select("*", F.count("*").over(after).alias("count_after"), F.sum("w").over(after).alias("mass_after"))
+    enough = (F.col("count_after") >= THRESHOLD * F.col("size") - F.col("common") - 1e-9) | (F.col("mass_after") >= THRESHOLD * F.col("mass") - F.col("held") - 1e-9)
+    return lines.where(enough).select("a", "e", "b")
+
+
+def groups_of(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, within, e, b, size, common, mass, held): the groups of step 4, for centres with members of several components."""
+    own = with_root(with_root(stars, roots, "b", "root_b"), roots, "a", "root_a")
+    torn = stored(own.groupBy("a").agg(F.min(F.col("root_a") == F.col("root_b")).alias("one")).where("not one").select("a"))
+    own = stored(stars.join(small(torn), "a", "left_semi").drop("jaccard", "probability"))
+    facts = own.drop("extra", "weight")
+    by_extra = prefixes(own).join(facts, ["a", "b"]).select("a", F.lit(False).alias("within"), "e", "b", "size", "common", "mass", "held")
+    # whom a member can link to by the centre's elements alone: neither too large nor too small, or of enough weight there
+    part, repeats, largest = F.col("held") / F.col("mass"), F.col("mass") > F.col("size"), F.col("common") / SHARE - F.col("size")
+    limits = facts.groupBy("a").agg(F.min("size").alias("least"), F.max(largest).alias("most"), F.max(part).alias("top"), F.max(F.when(repeats, part)).alias("top_repeats"))
+    sets = (F.col("least") <= largest + 1e-6) & (F.col("size") <= F.col("most") + 1e-6)
+    partner = F.when(repeats, F.col("top")).otherwise(F.col("top_repeats"))
+    weights = F.coalesce(1 / part + 1 / partner <= 1 + 1 / THRESHOLD + 1e-9, F.lit(False))
+    by_centre = facts.join(small(stored(limits)), "a").where(sets | weights).select("a", F.lit(True).alias("within"), F.lit(0).cast("long").alias("e"), "b", "size", "common", "mass", "held")
+    return by_extra.unionByName(by_centre)
+
+
+def closed(groups: DataFrame, roots: DataFrame, own: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(links, roots) once every two members of a group are of one component, or verified, or no link."""
+    found, centres = None, CENTRES
+    while True:
+        live = with_root(groups, roots, "b", "root")
+        torn = stored(live.groupBy(*GROUP).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*GROUP))
+        if torn.isEmpty():
+            return found, roots
+        live = stored(live.join(small(torn), GROUP, "left_semi"))
+        order = Window.partitionBy(*GROUP).orderBy(F.desc(F.col("held") / F.col("mass")), F.desc("size"), "b")
+        chosen = stored(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).drop("place"))
+        both = chosen.alias("x").join(live.alias("y"), GROUP).where((F.col("x.root") != F.col("y.root")) & possible("x", "y", F.col("within")))
+        pairs = stored(both.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct())
+        links = stored(verified(pairs, own).where(near()).select("a", "b"))
+        if not links.isEmpty():
+            found = links if found is None else found.unionByName(links)
+            between = with_root(with_root(links, roots, "a", "root_a"), roots, "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            up = components(between)
+            moved = up.select(F.col("id").alias("root"), F.col("root").alias("to"))
+            roots = stored(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")).unionByName(up))
+        groups, before = live.drop("root").join(chosen.select(*GROUP, "b"), [*GROUP, "b"], "left_anti"), groups
+        groups = stored(groups)
+        release(before, torn, live, chosen, pairs)
+        centres *= GROWTH
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root): the least id of each linked id's component, for every id that isn't itself the least."""
+    """(id, root): the least key of each linked key's component, for every key that isn't itself the least."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        lesser = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, edges = edges, stored(lesser.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(old)
         now = mark(edges)
-        if tuple(now) == tuple(before):
+        if now == before:
             break
         before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, copy_of, class_id, verified_links): the least id with the same words, the least id of the group, and how many of the words'
-    links were verified: those with centres, and what step 4 adds. Pairs inside a component aren't counted."""
-    plain = _plain(docs, id_col, text_col)
-    rows = stored(signed(plain))
-    classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): for each bucket, its centre and every other member."""
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(members.join(crowded, "bucket"))
+    crowded = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stored(members.join(small(crowded), "bucket"))
     mates = shared.groupBy("rep").agg(F.sum("n").alias("mates"))
-    centres = shared.join(mates, "rep").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("centre"))
-    shared = stored(shared.join(centres, "bucket").select("bucket", "rep", "centre"))
-    pairs = stored(shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    stars = stored(verified(pairs, plain, extras=True))
-    near = (F.col("jaccard") >= THRESHOLD) | (F.col("probability") >= THRESHOLD)
-    links = stars.where(near).select("a", "b")
-    roots = components(links)
+    top = F.min(F.struct((-F.col("mates")).alias("minus"), "rep"))
+    centres = stored(shared.join(mates, "rep").groupBy("bucket").agg(top.alias("top")).select("bucket", F.col("top.rep").alias("a")))
+    pairs = stored(shared.join(small(centres), "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    release(crowded, shared, centres)
+    return pairs
+
 
-    root_of = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    rest = stored(left_pairs(stored(root_of(root_of(stars, "b"), "a"))))
-    if not rest.isEmpty():
-        more = stored(verified(rest, plain)).where(near).select("a", "b")
-        links = links.unionByName(more).distinct()
-        roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("verified_links"))
+def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, rep, root, verified_links) of every row with an id: the key of its text, of the least copy, of the group."""
+    plain = _plain(docs, id_col, text_col)
+    rows = stored(signed(plain))
+    classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = classes.withColumn("rep", F.struct(F.col("least").alias("id"), F.col("d1").alias("tag")))
+    pairs = candidates(classes)
+    own = stored(contents(plain, pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+    stars = stored(verified(pairs, own, extras=True))
+    links = stars.where(near()).select("a", "b")
+    roots = components(links)
+    more, roots = closed(groups_of(stars, roots), roots, own)
+    links = links if more is None else links.unionByName(more).distinct()
+    degree = stored(links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("verified_links")))
+    release(pairs, own, stars)
     # only texts with copies need a look-up; a salt deals out the rows of a text that has very many
     several = classes.where("copies > 1").select("d1", "d2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     named = rows.select("id", "d1", "d2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    named = named.join(several, ["d1", "d2", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    named = named.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("verified_links", F.lit(0)).alias("verified_links"))
-    return named.groupBy("id").agg(F.min(F.struct("class_id", "copy_of", "verified_links")).alias("x")).select("id", "x.copy_of", "x.class_id", "x.verified_links")
+    named = named.join(several, ["d1", "d2", "salt"], "left").select("id", F.col("d1").alias("tag"), F.coalesce("rep", F.struct("id", F.col("d1").alias("tag"))).alias("rep"))
+    named = with_root(named, small(roots), "rep", "root").join(small(degree), "rep", "left")
+    return named.select("id", "tag", "rep", "root", F.coalesce("verified_links", F.lit(0)).alias("verified_links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, copy_of, class_id, class_text, verified_links) of every row with an id: the least id with the same words; the least id of the
+    group; a hash of that one's words, which parts groups of different texts under one id; and how many of the words' links were
+    verified: those with centres, and what step 4 adds. Pairs inside a component aren't counted."""
+    found = classified(docs, id_col, text_col)
+    return found.select("id", F.col("rep.id").alias("copy_of"), F.col("root.id").alias("class_id"), F.col("root.tag").alias("class_text"), "verified_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that another one of their group, the one with the least id, stands for. A null id stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("id = class_id").select(F.col("id").alias("kept_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("own_text"))
-    own = rows.where("own_id is not null").join(keep, F.col("own_id") == F.col("kept_id"))
-    return own.dropDuplicates(["own_id"]).select("row.*").unionByName(rows.where("own_id is null").select("row.*"))
+    """``docs`` without the documents that another one of their group, the one with the least id, stands for. A null id stays.
+
+    Of rows with the same id and words the one stays whose columns have the least hash. Ids with one row are dealt
+    with by id alone; only those with several are told apart by their words.
+    """
+    found = stored(classified(docs, id_col, text_col).select("id", "tag", (F.struct("id", "tag") == F.col("root")).alias("stays")))
+    ids = found.groupBy("id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    single = stored(ids.where("n = 1 and not stays").select("id"))
+    several = stored(ids.where("n > 1").select("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    if several.isEmpty():
+        return rows.join(small(single), "id", "left_anti").select("row.*")
+    gone = small(stored(single.unionByName(several)))
+    texts = rows.join(small(several), "id", "left_semi").withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+    texts = texts.select("id", "row", word_hashes(F.col("text")).alias("words"), F.trim("text").alias("bare")).select("id", "row", _digest().alias("tag"))
+    stays = stored(found.where("stays").select("id", "tag").join(small(several), "id", "left_semi").distinct())
+    texts = texts.join(small(stays), ["id", "tag"], "left_semi")
+    first = Window.partitionBy("id", "tag").orderBy(F.xxhash64("row"))
+    texts = texts.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.join(gone, "id", "left_anti").select("row.*").unionByName(texts.select("row.*"))

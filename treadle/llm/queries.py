@@ -160,7 +160,7 @@ FROM m JOIN body USING (uid) LEFT JOIN t2 ON m.conv_id = t2.conv_id AND m.turn =
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "copy_of", "class_id", "verified_links")
+    return found.select(F.col("id").alias("doc_id"), "copy_of", "class_id", "class_text", "verified_links")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
