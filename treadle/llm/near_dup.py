@@ -50,7 +50,7 @@ SLOTS = BANDS * ROWS
 BROADCAST_ROWS = 500_000
 SALTS = 16
 #: Members of each open group that a first round verifies against the others, and by how much that grows each round.
-CENTRES, GROWTH = 4, 4
+CENTRES, GROWTH = 8, 16
 #: Two sets of similarity THRESHOLD have at least this share of their sizes' sum in common.
 SHARE = THRESHOLD / (1 + THRESHOLD)
 KEY = "struct<id: bigint, tag: bigint>"
@@ -177,6 +177,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """A stored table as one partition, if it has few rows: what is done with it then needs no shuffle."""
+    return df.coalesce(1) if df.count() <= BROADCAST_ROWS else df
+
+
 def contents(plain: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, elements, weights) of the texts that are asked for: distinct shingle hashes, ascending, as bytes; weights are empty where all are 1."""
     rows = plain.join(small(stored(keys.select("key.id").distinct())), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"), F.trim("text").alias("bare"))
@@ -201,8 +206,10 @@ def verified(pairs: DataFrame, own: DataFrame, extras: bool = False) -> DataFram
 
     With ``extras``, ``extra`` and ``weight`` have b's elements that a lacks, and their weights.
     """
-    name = lambda side: own.select(F.col("key").alias(side), F.col("elements").alias(f"e{side}"), F.col("weights").alias(f"w{side}"))
-    rows = pairs.join(name("b"), "b").join(name("a"), "a").select("a", "b", "ea", "wa", "eb", "wb")
+    pairs = small(pairs)
+    name = lambda side: [F.col("key").alias(side), F.col("elements").alias(f"e{side}"), F.col("weights").alias(f"w{side}")]
+    asked = own.join(pairs.select(F.col("a").alias("key")), "key", "left_semi").select(*name("a"))
+    rows = own.select(*name("b")).join(pairs, "b").join(asked, "a").select("a", "b", "ea", "wa", "eb", "wb")
     kinds = {"jaccard": pa.float64(), "probability": pa.float64(), "size": pa.int64(), "common": pa.int64(), "mass": pa.int64(), "held": pa.int64(), "extra": pa.list_(pa.int64()), "weight": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +259,7 @@ def possible(x: str, y: str, within: Column) -> Column:
 
 
 def prefixes(own: DataFrame) -> DataFrame:
-    """(a, e, b): the elements by which members of a centre can meet that share some which the centre lacks.
+    """(a, within, e, b, size, common, mass, held): the elements e by which members of a centre can meet that share some which the centre lacks.
 
     Such elements of a member are put in order, the rarest among the centre's members first. A link of sets x and y has at least
     THRESHOLD * |x| elements in common, of which the centre can give ``common``; by weight, the same holds of x's weight and
@@ -264,16 +271,16 @@ def prefixes(own: DataFrame) -> DataFrame:
     after = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.join(small(often), ["a", "e"]).select("*", F.count("*").over(after).alias("count_after"), F.sum("w").over(after).alias("mass_after"))
     enough = (F.col("count_after") >= THRESHOLD * F.col("size") - F.col("common") - 1e-9) | (F.col("mass_after") >= THRESHOLD * F.col("mass") - F.col("held") - 1e-9)
-    return lines.where(enough).select("a", "e", "b")
+    return lines.where(enough).select("a", F.lit(False).alias("within"), "e", "b", "size", "common", "mass", "held")
 
 
 def groups_of(stars: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, within, e, b, size, common, mass, held): the groups of step 4, for centres with members of several components."""
-    own = with_root(with_root(stars, roots, "b", "root_b"), roots, "a", "root_a")
-    torn = stored(own.groupBy("a").agg(F.min(F.col("root_a") == F.col("root_b")).alias("one")).where("not one").select("a"))
+    known = small(roots)
+    own = with_root(with_root(stars.select("a", "b"), known, "b", "root_b"), known, "a", "root_a")
+    torn = stored(own.where("root_a <> root_b").select("a").distinct())
     own = stored(stars.join(small(torn), "a", "left_semi").drop("jaccard", "probability"))
     facts = own.drop("extra", "weight")
-    by_extra = prefixes(own).join(facts, ["a", "b"]).select("a", F.lit(False).alias("within"), "e", "b", "size", "common", "mass", "held")
     # whom a member can link to by the centre's elements alone: neither too large nor too small, or of enough weight there
     part, repeats, largest = F.col("held") / F.col("mass"), F.col("mass") > F.col("size"), F.col("common") / SHARE - F.col("size")
     limits = facts.groupBy("a").agg(F.min("size").alias("least"), F.max(largest).alias("most"), F.max(part).alias("top"), F.max(F.when(repeats, part)).alias("top_repeats"))
@@ -281,48 +288,46 @@ def groups_of(stars: DataFrame, roots: DataFrame) -> DataFrame:
     partner = F.when(repeats, F.col("top")).otherwise(F.col("top_repeats"))
     weights = F.coalesce(1 / part + 1 / partner <= 1 + 1 / THRESHOLD + 1e-9, F.lit(False))
     by_centre = facts.join(small(stored(limits)), "a").where(sets | weights).select("a", F.lit(True).alias("within"), F.lit(0).cast("long").alias("e"), "b", "size", "common", "mass", "held")
-    return by_extra.unionByName(by_centre)
+    return prefixes(own).unionByName(by_centre)
 
 
 def closed(groups: DataFrame, roots: DataFrame, own: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """(links, roots) once every two members of a group are of one component, or verified, or no link."""
-    found, centres = None, CENTRES
+    found, centres, groups, roots = None, CENTRES, lean(stored(groups)), lean(roots)
     while True:
         live = with_root(groups, roots, "b", "root")
-        torn = stored(live.groupBy(*GROUP).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*GROUP))
-        if torn.isEmpty():
+        torn = live.groupBy(*GROUP).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*GROUP)
+        live = lean(stored(live.join(torn, GROUP, "left_semi")))
+        if live.isEmpty():
             return found, roots
-        live = stored(live.join(small(torn), GROUP, "left_semi"))
         order = Window.partitionBy(*GROUP).orderBy(F.desc(F.col("held") / F.col("mass")), F.desc("size"), "b")
-        chosen = stored(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).drop("place"))
+        chosen = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).drop("place")
         both = chosen.alias("x").join(live.alias("y"), GROUP).where((F.col("x.root") != F.col("y.root")) & possible("x", "y", F.col("within")))
         pairs = stored(both.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct())
-        links = stored(verified(pairs, own).where(near()).select("a", "b"))
-        if not links.isEmpty():
+        if not pairs.isEmpty():
+            links = lean(stored(verified(pairs, own).where(near()).select("a", "b")))
             found = links if found is None else found.unionByName(links)
             between = with_root(with_root(links, roots, "a", "root_a"), roots, "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-            up = components(between)
+            up = lean(components(between))
             moved = up.select(F.col("id").alias("root"), F.col("root").alias("to"))
-            roots = stored(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")).unionByName(up))
-        groups, before = live.drop("root").join(chosen.select(*GROUP, "b"), [*GROUP, "b"], "left_anti"), groups
-        groups = stored(groups)
-        release(before, torn, live, chosen, pairs)
+            roots = lean(stored(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")).unionByName(up)))
+        groups = live.drop("root").join(chosen.select(*GROUP, "b"), [*GROUP, "b"], "left_anti")
         centres *= GROWTH
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the least key of each linked key's component, for every key that isn't itself the least."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = lean(stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()))
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(edges)
+    together = (lambda df: df.coalesce(1)) if before[0] <= BROADCAST_ROWS else (lambda df: df)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         lesser = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edges = edges, stored(lesser.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        release(old)
+        edges = together(stored(together(lesser.unionByName(least.select("u", F.col("m").alias("v")))).distinct()))
         now = mark(edges)
         if now == before:
             break
@@ -353,7 +358,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = stored(contents(plain, pairs.select(F.explode(F.array("a", "b")).alias("key"))))
     stars = stored(verified(pairs, own, extras=True))
     links = stars.where(near()).select("a", "b")
-    roots = components(links)
+    roots = lean(components(links))
     more, roots = closed(groups_of(stars, roots), roots, own)
     links = links if more is None else links.unionByName(more).distinct()
     degree = stored(links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("verified_links")))
