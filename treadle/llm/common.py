@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treadle.plans.storage import release, stored
 
-__all__ = ["hash_sample", "in_fold", "let", "release", "stored", "table"]
+__all__ = ["hash_sample", "in_fold", "let", "release", "stored", "table", "window_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +30,9 @@ def hash_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
         return df
     scale = 1 << 30
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(scale)) < int(scale * rows / total))
+
+
+def window_of(text: str, chars: int, salt: int = 0) -> Column:
+    """The text, or ``chars`` characters of a longer one, from a place that a hash of it gives."""
+    place = 1 + F.pmod(F.xxhash64(F.lit(salt), F.col(text)), F.greatest(F.length(text) - chars + 1, F.lit(1)))
+    return F.substring(F.col(text), place.cast("int"), F.lit(chars))

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 800
 PLACES = 3
+#: Learned from at most; more values of the column are an error.
+LANGUAGES = 1000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -138,89 +140,22 @@ def window_bytes(text: str) -> np.ndarray:
 def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """``allowed``: which rows may be learned from. Only the sample's windows come to the driver."""
     known = docs.where(allowed).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not totals:
         return None
-    wanted = F.lit(False)
-    scale = 1 << 30
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(scale))
-    for lang, total in totals.items():
-        wanted = wanted | ((F.col("lang") == lang) & (chance < int(scale * min(1.0, SAMPLE / total))))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE / n)) for k, n in totals.items()], "lang string, share double")
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30))
+    wanted = known.join(F.broadcast(shares), "lang").where(chance < F.col("share") * (1 << 30))
     places = [F.substring("text", 1 + F.pmod(F.xxhash64(F.lit(j), "id"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int"), F.lit(WINDOW)) for j in range(PLACES)]
-    rows = known.where(wanted).select("lang", F.array(*places).alias("windows"), chance.alias("chance")).orderBy("chance").limit(2 * SAMPLE * len(totals)).collect()
+    rows = wanted.select("lang", F.array(*places).alias("windows"), chance.alias("chance")).orderBy("chance").limit(2 * SAMPLE * len(totals)).collect()
     rows = sorted((w, r["lang"]) for r in rows for w in r["windows"])
     net = Network(sorted(totals))
     net.train(np.stack([window_bytes(w) for w, _ in rows]), np.array([net.classes.index(k) for _, k in rows]))
     return net
 
 
-def predict(self, texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
-        """The class and its probability for each text, given as bytes."""
-        sizes = np.array([len(t) for t in texts])
-        counts = np.maximum(1, -(-(sizes + 3) // WINDOW))
-        first = np.cumsum(counts) - counts
-        flat = np.zeros(int(counts.sum()) * WINDOW + 3, np.uint8)
-        for t, k in zip(texts, first, strict=True):
-            flat[k * WINDOW : k * WINDOW + len(t)] = np.frombuffer(t, np.uint8)
-        logits = self.logits(flat).astype(np.float64)
-        place = np.arange(counts.sum()) - np.repeat(first, counts)
-        weight = np.clip(np.repeat(sizes, counts) - place * WINDOW, 0, WINDOW).astype(np.float64)
-        total = np.add.reduceat(logits * weight[:, None], first) / np.maximum(np.add.reduceat(weight, first), 1)[:, None]
-        p = np.exp(total - total.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        return p.argmax(1), p.max(1)
-
-
-def window_bytes(text: str) -> np.ndarray:
-    out = np.zeros(WINDOW + 3, np.uint8)
-    raw = np.frombuffer(text.encode()[:WINDOW], np.uint8)
-    out[: len(raw)] = raw
-    return out
-
-
-def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """``allowed``: which rows may be learned from. Only the sample's windows come to the driver."""
-    known = docs.where(allowed).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not totals:
-        return None
-    wanted = F.lit(False)
-    scale = 1 << 30
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(scale))
-    for lang, total in totals.items():
-        wanted = wanted | ((F.col("lang") == lang) & (chance < int(scale * min(1.0, SAMPLE / total))))
-    places = [F.substring("text", 1 + F.pmod(F.xxhash64(F.lit(j), "id"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int"), F.lit(WINDOW)) for j in range(PLACES)]
-    rows = known.where(wanted).select("lang", F.array(*places).alias("windows"), chance.alias("chance")).orderBy("chance").limit(2 * SAMPLE * len(totals)).collect()
-    rows = sorted((w, r["lang"]) for r in rows for w in r["windows"])
-    net = Network(sorted(totals))
-    net.train(np.stack([window_bytes(w) for w, _ in rows]), np.array([net.classes.index(k) for _, k in rows]))
-    return net
-
-
-def predicted(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` as (row, lang_pred, score): the row as it was, and the prediction for its text."""
-    raw = docs.select(F.struct(*docs.columns).alias("row"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary")).alias("raw"))
-    if net is None:
-        return raw.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(net)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [x.as_buffer() if x.is_valid else None for x in part.column(1)]
-                known = [i for i, t in enumerate(texts) if t is not None]
-                langs, scores = [UNKNOWN] * len(texts), [1.0] * len(texts)
-                if known:
-                    best, p = tables.predict([texts[i] for i in known])
-                    for i, c, s in zip(known, best.tolist(), p.tolist(), strict=True):
-                        langs[i], scores[i] = net.classes[c], s
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
-
-    schema = raw.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return raw.mapInArrow(run, schema)
-
-
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row. The text itself goes no further than the worker."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary")).alias("raw"))

@@ -6,12 +6,13 @@ A text's features are the hashed tokens between white space, each as lower-case
 letters, digits and each mark) and as "same as the one before", averaged over the text's tokens with a few figures of the whole text.
 Weights and thresholds are trained together in numpy with Adam.
 
-It is fitted on a bounded sample: about SAMPLE texts of each grade, chosen by a hash of the id, of at most SAMPLE_CHARS
-characters each. Scoring reads whole texts; a token's part is cached for up to CACHE tokens per worker.
+It is fitted on a bounded sample: about SAMPLE texts of each grade, chosen by a hash of the id; of a text of more than SAMPLE_CHARS
+characters, that many from a place that a hash gives. More than GRADES different grades are an error: ratings are steps, not a
+measurement. Scoring reads whole texts, of any length in one pass; a token's part is cached for up to CACHE tokens per worker.
 
 Null and empty texts, and texts of white space, have no tokens: the thresholds alone grade them, with a feature of their own. Repeated rows
 each get their scores, equal texts the same; where one id has several ratings, the least counts. Without ratings of two
-grades every text gets the one grade there is, or 0. Further columns aren't read. An empty table gives no rows.
+grades every text gets the one grade there is, or 0. Grades may be fractions. Further columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treadle.llm.common import hash_sample
+from treadle.llm.common import window_of
 
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
+GRADES = 100
 BUCKETS = 1 << 16
 CACHE = 150_000
 _RUNS = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
@@ -66,7 +68,7 @@ def text_features(text: str | None) -> dict[int, float]:
 
 
 class Model:
-    def __init__(self, grades: list[int], weights: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, grades: list[float], weights: np.ndarray, thresholds: np.ndarray):
         self.grades, self.weights, self.thresholds = grades, weights, thresholds
 
     def above(self, margin: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ class Scorer:
         return self.model.read(margin)
 
 
-def train(texts: list[str], grades: list[int], steps: int = 250, batch: int = 256, rate: float = 0.05, seed: int = 1) -> Model:
+def train(texts: list[str], grades: list[float], steps: int = 250, batch: int = 256, rate: float = 0.05, seed: int = 1) -> Model:
     kinds = sorted(set(grades))
     if len(kinds) < 2:
         return Model(kinds, np.zeros(BUCKETS), np.zeros(0))
@@ -151,16 +153,17 @@ def train(texts: list[str], grades: list[int], steps: int = 250, batch: int = 25
 def fit(docs: DataFrame, ratings: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality") -> Model:
     """``allowed``: over the rating table's ids, which rows may be learned from. Only the sample's texts come to the driver."""
     marked = ratings.where(allowed & F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(grade_col).alias("grade"))
-    totals = {r["grade"]: r["count"] for r in marked.groupBy("grade").count().collect()}
-    wanted = None
-    for grade, total in sorted(totals.items()):
-        part = hash_sample(marked.where(F.col("grade") == grade), F.col("id"), SAMPLE, total).limit(2 * SAMPLE)
-        wanted = part if wanted is None else wanted.unionByName(part)
-    if wanted is None:
+    totals = {r["grade"]: r["count"] for r in marked.groupBy("grade").count().limit(GRADES + 1).collect()}
+    if len(totals) > GRADES:
+        raise ValueError(f"more than {GRADES} grades")
+    if not totals:
         return train([], [])
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = plain.join(F.broadcast(wanted), "id").select("text", "grade").orderBy(F.xxhash64("text")).limit(3 * SAMPLE * len(totals)).collect()
-    rows = sorted((r["text"], int(r["grade"])) for r in rows)
+    shares = docs.sparkSession.createDataFrame([(float(g), min(1.0, SAMPLE / n)) for g, n in totals.items()], "grade double, share double")
+    marked = marked.select("id", F.col("grade").cast("double").alias("grade")).join(F.broadcast(shares), "grade")
+    wanted = marked.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("id", "grade").limit(2 * SAMPLE * len(totals))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
+    rows = rows.select(window_of("text", SAMPLE_CHARS).alias("text"), "grade").orderBy(F.xxhash64("text")).limit(3 * SAMPLE * len(totals)).collect()
+    rows = sorted((r["text"], r["grade"]) for r in rows)
     return train([t for t, _ in rows], [k for _, k in rows])
 
 

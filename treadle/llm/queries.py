@@ -86,10 +86,11 @@ OP9_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 100 = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT q.vec_id AS query_id, q.v AS query, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM q JOIN e c ON q.vec_id <> c.vec_id
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 

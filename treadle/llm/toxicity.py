@@ -1,17 +1,19 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams of three to five (with edge marks) and itself, each hashed to a row of an embedding
-table; its vector is their mean. The words of a segment (SEGMENT_WORDS in a row) are averaged and go into a linear
-softmax over two classes; a document's score is the highest of its segments, so a few words in a long text count as
-they do in a short one. Embeddings and softmax are trained together in numpy with Adam on whole documents: first with
-the segments' soft maximum, then with the maximum. A misspelling shares most n-grams with the word it comes from.
+table; its vector is their mean. Words are averaged twice: plainly over segments of SEGMENT_WORDS in a row, and the segments' vectors
+over the whole text, each weighted by exp(SHARPNESS * its margin), so that a few words in a long text count nearly as they do in
+a short one. That average goes into a linear softmax over two classes. Embeddings and softmax are trained together in numpy with
+Adam on whole documents: first with flat weights, then as sharp as scores are. A misspelling shares most n-grams with the word it comes from.
 
-It is fitted on a bounded sample: SAMPLE documents of each label, chosen by a hash of the id among labelled rows, of at
-most SAMPLE_CHARS characters each. Scoring reads whole texts. A word's part in the score is kept in a cache of CACHE words per worker.
+It is fitted on a bounded sample: SAMPLE documents of each label, chosen by a hash of the id among labelled rows; of a text of more than
+SAMPLE_CHARS characters, that many from a place that the hash gives. Scoring reads whole texts. A word's part in the score is
+kept in a cache of CACHE words per worker.
 
 Null and empty texts, and texts without words, get the score of the bias alone. Repeated rows each get their score;
-equal texts have equal scores. Where one id has several labels, the highest counts. Without labelled rows of both
-labels every score is the share of label 1, or 0 without any. Further columns aren't read. An empty table gives no rows.
+equal texts have equal scores. Where one id has several labels, the highest counts, and where it has several texts, each of them has it.
+Without labelled rows of both labels every score is the share of label 1, or 0 without any. Very long texts are averaged word by word
+in one pass. Further columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treadle.llm.common import hash_sample
+from treadle.llm.common import hash_sample, window_of
 
 SAMPLE = 1500
 SAMPLE_CHARS = 5000
 SEGMENT_WORDS = 2
+SHARPNESS = 4.0
 BUCKETS = 1 << 16
 DECAY = 3e-5
 DIMS = 12
@@ -94,6 +97,11 @@ class Model:
         return np.bincount(owner, weights=self.along[bucket], minlength=len(unique)) / np.maximum(n, 1)
 
 
+def sharp_average(margins: np.ndarray) -> float:
+    weight = np.exp(SHARPNESS * (margins - margins.max()))
+    return float(weight @ margins / weight.sum())
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.parts = model, {}
@@ -113,7 +121,7 @@ class Scorer:
                 starts = segment_starts(len(own))
                 sums = np.add.reduceat(values, starts)
                 sizes = np.diff([*starts, len(own)])
-                out[k] = (sums / sizes).max()
+                out[k] = sharp_average(sums / sizes)
             else:
                 out[k] = 0.0
         return 1 / (1 + np.exp(-np.clip(out + self.model.bias, -60, 60)))
@@ -175,7 +183,7 @@ def train(texts: list[str], labels: list[int], visits: int = VISITS, batch: int
             head = np.cumsum(segments) - segments
             of_doc = np.repeat(np.arange(len(own)), segments)
             top = np.maximum.reduceat(margin, head)
-            share = np.exp(np.clip((margin - top[of_doc]) * (1 if epoch < epochs // 2 else 50), -60, 0))
+            share = np.exp(np.clip((margin - top[of_doc]) * (1 if epoch < epochs // 2 else SHARPNESS), -60, 0))
             share /= np.add.reduceat(share, head)[of_doc]
             z = np.add.reduceat(share * margin, head)
             wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) * weight[own] / len(own)
@@ -199,15 +207,15 @@ def train(texts: list[str], labels: list[int], visits: int = VISITS, batch: int
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """``allowed``: over the label table's ids, which rows may be learned from. Only the sample's texts come to the driver."""
     marked = labels.where(allowed & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("id is not null")
-    totals = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    totals = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two at most
     wanted = None
     for label, total in sorted(totals.items()):
         part = hash_sample(marked.where(F.col("label") == label), F.col("id"), SAMPLE, total).limit(2 * SAMPLE)
         wanted = part if wanted is None else wanted.unionByName(part)
     if wanted is None:
         return train([], [])
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = plain.join(F.broadcast(wanted), "id").select("text", "label").orderBy(F.xxhash64("text")).limit(6 * SAMPLE).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
+    rows = rows.select(window_of("text", SAMPLE_CHARS).alias("text"), "label").orderBy(F.xxhash64("text")).limit(6 * SAMPLE).collect()
     rows = sorted((r["text"], int(r["label"])) for r in rows)
     return train([t for t, _ in rows], [k for _, k in rows])
 
