@@ -124,6 +124,25 @@ def test_lifecycle(spark):
     assert after == {"/r/a": False, "/r/b": True, "/r/new": False}
 
 
+def test_directories_take_what_is_below_along(spark):
+    rows = [(0, "move_in", "a"), (10, "open", "d", True), (20, "delete", "d", True), (30, "open", "d/x"), (40, "create", "d/x"), (50, "open", "d/x"), (60, "open", "dx"), (70, "root_gone", ""), (80, "open", "dx")]
+    made = [(k, START + timedelta(seconds=s), "/r", f"/r/{n}" if n else "/r", kind, bool(more)) for k, (s, kind, n, *more) in enumerate(rows)]
+    found = spark.createDataFrame(made, "event_id long, ts timestamp_ntz, root string, path string, kind string, is_dir boolean")
+    own = entries(spark, ["", "d/", "d/x", "d/y", "dx"]).select(*catalog.COLUMNS)
+    assert [(r["event_id"], r["kind"]) for r in access.eligible(found, own).orderBy("event_id").collect()] == [(0, "edit"), (5, "open"), (6, "open")]
+    some = found.where("event_id < 7")
+    dead = {r["path"]: r["dead"] for r in catalog.lifecycle(own, some).collect()}
+    assert dead == {"/r": False, "/r/a": False, "/r/d": True, "/r/d/x": False, "/r/d/y": True, "/r/dx": False}
+    assert all(r["dead"] for r in catalog.lifecycle(own, found).collect())
+    alive, heard = live.Alive(), []
+    for k, (_, kind, name, *more) in enumerate(rows):
+        alive.take(kind, "/r", f"/r/{name}", bool(more), [k, k])
+        if kind in ("open", "move_in") and not more and alive(f"/r/{name}"):
+            heard.append(k)
+    assert heard == [0, 5, 6]
+    assert catalog.status(catalog.lifecycle(own, found), found).first()["root_lost"]
+
+
 def plain_counts(rows):
     """All of it in one loop, for events of one root whose files are all alive before."""
     last_at, last_path, dead, out = None, None, set(), []
@@ -217,6 +236,17 @@ def test_incremental_equals_full(spark):
     got = {r["path"]: r["p"] for r in rank.incremental_rank(opens, settled, after).collect()}
     want = exact(opens, after)
     assert all(abs(got[k] - want[k]) < 2e-4 for k in want)
+    fine = {r["path"]: r["p"] for r in rank.incremental_rank(opens, settled, after, n=16, epsilon=1e-9).collect()}
+    assert fine.keys() == want.keys() and all(abs(fine[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_only_active_files_are_touched(spark):
+    state = spark.createDataFrame([("/r", k, 1.0, r) for k, r in (("a", 1.0), ("b", 1e-6), ("c", 0.0), ("d", 1e-6))], "root string, path string, p double, r double")
+    edges = spark.createDataFrame([("/r", "a", "b", 1.0), ("/r", "d", "c", 1.0)], "root string, src string, dst string, weight double")
+    got = {r["path"]: (r["p"], r["r"]) for r in rank.active_rounds(state, edges, 1, 1e-4).collect()}
+    assert got == {"a": (1.5, 0.0), "b": (1.0, 1e-6 + 0.5), "c": (1.0, 0.0), "d": (1.0, 1e-6)}
+    got = {r["path"]: r["p"] for r in rank.active_rounds(state, edges, 20, 1e-4).collect()}
+    assert got["b"] == 1.0 + 0.5 * (1e-6 + 0.5) and got["d"] == 1.0
 
 
 def test_decay(spark):
@@ -342,6 +372,14 @@ def test_engine(spark, tmp_path):
     again.forget()
     assert [r["score"] for r in again.query(".c").collect()] == [0.0, 0.0]
     assert not api.Engine(spark, "/never", str(tmp_path)).open()
+    listed = entries(spark, ["", "new.c"]).select("root", "path", "is_dir")
+    watched = api.Engine(spark, "/r", str(tmp_path / "watched"), lister=lambda: (listed, None))
+    watched.reconcile(entries(spark, ["", "a.c"]).select("root", "path", "is_dir"))
+    assert watched.tick(watched.last_save + 10) is None and watched.tick(watched.last_save + 301) and watched.tick(watched.last_save + 301) is None
+    watched.record(events(spark, [(0, "overflow", "a.c")]))
+    assert names(watched.query(".c")) == ["/r/new.c"]
+    watched.record(events(spark, [(1, "root_gone", "")]))
+    assert watched.status()["root_lost"] and watched.status()["indexed"] == 0 and names(watched.query(".c")) == []
     born = api.Engine(spark, "/r", str(tmp_path / "named"), identity=(1, 2, 3))
     born.reconcile(entries(spark, ["", "a.c"]).select("root", "path", "is_dir"))
     born.save()
@@ -369,6 +407,9 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     with pytest.raises(SystemExit) as e:
         run(["query", "x", where, "--limit", "21"], spark)
     assert e.value.code == 2
+    for days in ("nan", "inf", "-1", "x"):
+        with pytest.raises(SystemExit):
+            run(["query", "x", where, "--half-life", days], spark)
 
 
 def test_plans_push_down_and_stay_narrow(spark, tmp_path):

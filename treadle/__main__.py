@@ -6,6 +6,7 @@ Exit code 0 with matches, 1 without, 2 on wrong use. Snapshots are kept in $XDG_
 from __future__ import annotations
 
 import argparse
+import math
 import os
 import sys
 
@@ -16,6 +17,15 @@ def state_folder() -> str:
     return os.path.join(os.environ.get("XDG_STATE_HOME") or os.path.expanduser("~/.local/state"), "treadle")
 
 
+def identity(path: str) -> tuple[int, int, int] | None:
+    """Device, inode and time of birth in nanoseconds (0 where the system has none) of what a path leads to."""
+    try:
+        found = os.stat(path)
+    except OSError:
+        return None
+    return found.st_dev, found.st_ino, int(getattr(found, "st_birthtime_ns", 0))
+
+
 def parser() -> argparse.ArgumentParser:
     def limit(text: str) -> int:
         n = int(text)
@@ -23,6 +33,12 @@ def parser() -> argparse.ArgumentParser:
             raise argparse.ArgumentTypeError(f"1 to {TOP_K}")
         return n
 
+    def days(text: str) -> float:
+        n = float(text)
+        if not (math.isfinite(n) and n >= 0):
+            raise argparse.ArgumentTypeError("days, 0 or more")
+        return n
+
     out = argparse.ArgumentParser(prog="treadle")
     commands = out.add_subparsers(dest="command", required=True)
     query = commands.add_parser("query")
@@ -31,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--json", action="store_true")
     query.add_argument("--limit", type=limit, default=TOP_K)
     query.add_argument("--rescan", action="store_true")
-    query.add_argument("--half-life", type=float, default=HALF_LIFE_SECS / 86400)
+    query.add_argument("--half-life", type=days, default=HALF_LIFE_SECS / 86400)
     commands.add_parser("forget").add_argument("dir")
     commands.add_parser("clear")
     return out
@@ -54,8 +70,8 @@ def run(argv: list[str], spark=None) -> int:
     if not os.path.isdir(root):
         print(f"not a directory: {asked.dir}", file=sys.stderr)
         return 2
-    engine = Engine(spark, root, folder, getattr(asked, "half_life", HALF_LIFE_SECS / 86400) * 86400)
-    found = engine.open()
+    engine = Engine(spark, root, folder, getattr(asked, "half_life", HALF_LIFE_SECS / 86400) * 86400, identity(root) or (0, 0, 0))
+    found = engine.open(identity)
     if asked.command == "forget":
         engine.forget()
         if found:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treadle.constants import ALPHA, DECAY_INTERVAL_SECS, HALF_LIFE_SECS, TOP_K
+from treadle.constants import DECAY_INTERVAL_SECS, HALF_LIFE_SECS, SNAPSHOT_SECS, TOP_K
 from treadle.operators import access, catalog, rank, reply, search, snapshot
 from treadle.plans.storage import stored
 
@@ -20,11 +21,13 @@ RANK = "root string, path string, p double, r double"
 class Engine:
     """Every method that changes something writes the new tables to the shared folder and goes on from those."""
 
-    def __init__(self, spark: SparkSession, root: str, folder: str, half_life: float = HALF_LIFE_SECS, identity: tuple[int, int, int] = (0, 0, 0)):
-        """``identity``: the root's device, inode and time of birth, by which its snapshot is found after a rename."""
+    def __init__(self, spark: SparkSession, root: str, folder: str, half_life: float = HALF_LIFE_SECS, identity: tuple[int, int, int] = (0, 0, 0), lister: Callable[[], tuple] | None = None):
+        """``identity``: the root's device, inode and time of birth, by which its snapshot is found after a rename. ``lister`` gives a
+        complete listing and the directories that couldn't be listed; it's asked when events were lost."""
         self.spark, self.root, self.folder, self.half_life, self.identity = spark, root, folder, half_life, identity
         empty = lambda schema: spark.createDataFrame([], schema)
         self.entries, self.opens, self.edges, self.rank = empty(ENTRY), empty(OPENS), empty(EDGES), empty(RANK)
+        self.lister, self.root_lost, self.last_save = lister, False, int(time.time())
         self.last_decay, self.changed, self.scan_done, self.index_gen, self.score_gen = int(time.time()), False, False, 0, 0
 
     def open(self, identity_of=lambda path: None) -> bool:
@@ -38,7 +41,7 @@ class Engine:
         nodes, edges, head = found
         self.entries = nodes.select("root", "path", "is_dir", F.lit(False).alias("dead"))
         self.opens = nodes.where("opens > 0").select("root", "path", "opens")
-        self.rank = nodes.select("root", "path", (F.col("pgrk") * (1 - ALPHA)).alias("p"), F.lit(0.0).alias("r"))
+        self.rank = nodes.select("root", "path", F.col("pgrk").alias("p"), F.lit(0.0).alias("r"))
         ends = nodes.select("root", "path", "id")
         named = edges.join(ends.withColumnsRenamed({"id": "src", "path": "src_path"}), ["root", "src"]).join(ends.withColumnsRenamed({"id": "dst", "path": "dst_path"}), ["root", "dst"])
         self.edges = named.select("root", F.col("src_path").alias("src"), F.col("dst_path").alias("dst"), "weight")
@@ -52,13 +55,26 @@ class Engine:
         self.scan_done, self.changed, self.index_gen = True, True, self.index_gen + 1
 
     def record(self, events: DataFrame) -> None:
-        """Take in events (event_id, ts, root, path, kind, is_dir), in their own order."""
+        """Take in events (event_id, ts, root, path, kind, is_dir), in their own order. After an ``overflow`` the tree is listed again; with
+        ``root_gone`` the root is lost."""
         counts = stored(access.counted(access.candidates(access.gated(access.eligible(events, self.entries)))))
         self.entries = stored(catalog.lifecycle(self.entries, events))
         self.opens = stored(rank.apply_opens(self.opens, access.visit_weights(counts)))
         self.edges = stored(rank.apply_deltas(self.edges, access.edge_weights(counts)))
         self.rank = stored(rank.incremental_rank(self.opens, self.rank, self.edges))
         self.changed, self.index_gen, self.score_gen = True, self.index_gen + 1, self.score_gen + 1
+        special = {r["kind"] for r in events.where(F.col("kind").isin("overflow", "root_gone")).select("kind").distinct().collect()}
+        self.root_lost = self.root_lost or "root_gone" in special
+        if "overflow" in special and self.lister and not self.root_lost:
+            self.reconcile(*self.lister())
+
+    def tick(self, now: int) -> str | None:
+        """What is due by the clock: decay, and a snapshot if something has changed; where that was written, or None."""
+        self.decay(now)
+        if now - self.last_save < SNAPSHOT_SECS:
+            return None
+        self.last_save = now
+        return self.save()
 
     def scored(self) -> DataFrame:
         return rank.synced(self.entries, self.rank)
@@ -68,7 +84,7 @@ class Engine:
 
     def status(self) -> dict:
         live = self.entries.where(~F.col("dead")).count()
-        return {"root": self.root, "indexed": live, "scan_done": self.scan_done, "unwatched": 0, "root_lost": False, "index_gen": self.index_gen, "score_gen": self.score_gen}
+        return {"root": self.root, "indexed": 0 if self.root_lost else live, "scan_done": self.scan_done, "unwatched": 0, "root_lost": self.root_lost, "index_gen": self.index_gen, "score_gen": self.score_gen}
 
     def reply(self, text: str, limit: int = TOP_K) -> str:
         """One JSON line with totals, status and hits."""
@@ -83,6 +99,7 @@ class Engine:
             return
         less = lambda df, c: stored(rank.decayed(df, c, elapsed, self.half_life))
         self.opens, self.edges, self.rank = less(self.opens, ["opens"]), less(self.edges, ["weight"]), less(self.rank, ["p", "r"])
+        self.lister, self.root_lost, self.last_save = lister, False, int(time.time())
         self.last_decay, self.changed, self.score_gen = now, True, self.score_gen + 1
 
     def forget(self) -> None:

@@ -31,8 +31,11 @@ def seconds(later: str, earlier: str) -> F.Column:
 
 
 def eligible(events: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """Opens and edits of files that are alive when they come."""
-    return alive_at(events, hour(), entries).where(F.col("alive") & F.col("kind").isin("open", "edit")).drop("alive")
+    """Opens and edits of files that are alive when they come. A file that is moved in is edited, by an editor that saves under another name first;
+    opens of directories aren't a person's."""
+    found = alive_at(events, hour(), entries).where(~F.coalesce("is_dir", F.lit(False)))
+    moved = F.col("kind") == "move_in"
+    return found.where(moved | (F.col("alive") & F.col("kind").isin("open", "edit"))).withColumn("kind", F.when(moved, "edit").otherwise(F.col("kind"))).drop("alive")
 
 
 def with_gaps(events: DataFrame) -> DataFrame:

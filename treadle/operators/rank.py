@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treadle.constants import ALPHA, DECAY_INTERVAL_SECS, EDGE_MIN_WEIGHT, EPSILON, ROUNDS
-from treadle.plans.storage import stored
+from treadle.constants import ALPHA, DECAY_INTERVAL_SECS, EPSILON, ROUNDS
+from treadle.plans.storage import release, stored
 
 NODE = ["root", "path"]
 CUT_EVERY = 10
+#: Files of a round are broadcast up to this many.
+BROADCAST_ROWS = 100_000
 
 
 def out_weights(edges: DataFrame) -> DataFrame:
@@ -59,18 +61,40 @@ def pushed(state: DataFrame, of: DataFrame, epsilon: float = 0.0) -> DataFrame:
     return rows.groupBy("root", F.col("dst").alias("path")).agg(F.sum(p).alias("p"), F.sum(r).alias("r"))
 
 
-def rounds(state: DataFrame, edges: DataFrame, n: int = ROUNDS, epsilon: float = 0.0) -> DataFrame:
+def rounds(state: DataFrame, edges: DataFrame, n: int = ROUNDS) -> DataFrame:
     state = stored(state)
     of = stored(moves(state, edges), ["root", "src"])
     for k in range(1, n + 1):
-        state = pushed(state, of, epsilon)
+        state = pushed(state, of)
         if k % CUT_EVERY == 0 and k < n:
             state = stored(state)
-            if epsilon and state.where(F.abs("r") >= epsilon).isEmpty():
-                break
     return state
 
 
+def active_rounds(state: DataFrame, edges: DataFrame, n: int, epsilon: float) -> DataFrame:
+    """Rounds over those files only whose residual reaches ``epsilon``, and those they send to; all others stay as they are, aside.
+
+    A round joins the active files with the shares of their edges; files that get something for the first time are
+    looked up. Few active files are broadcast, so neither the edges nor the other files are shuffled.
+    """
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    state, of = stored(state), stored(shares(edges), ["root", "src"])
+    active = F.abs("r") >= epsilon
+    touched = stored(state.where(active))
+    for _ in range(n):
+        front = touched.where(active).select("root", F.col("path").alias("src"), "r")
+        if front.isEmpty():
+            break
+        got = of.join(few(front), ["root", "src"]).groupBy("root", F.col("dst").alias("path")).agg(F.sum(ALPHA * F.col("r") * F.col("share")).alias("got"))
+        got = stored(got)
+        fresh = state.join(few(got.select(*NODE).join(touched, NODE, "left_anti")), NODE, "left_semi")
+        p = F.when(active, F.col("p") + (1 - ALPHA) * F.col("r")).otherwise(F.col("p"))
+        r = F.when(active, 0.0).otherwise(F.col("r")) + F.coalesce("got", F.lit(0.0))
+        before, touched = touched, stored(touched.unionByName(fresh).join(got, NODE, "left").select(*NODE, p.alias("p"), r.alias("r")))
+        release(before, got)
+    return state.join(few(touched.select(*NODE)), NODE, "left_anti").unionByName(touched)
+
+
 def with_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` and, without opens, files that only edges name."""
     named = edges.select("root", F.explode(F.array("src", "dst")).alias("path")).distinct()
@@ -93,7 +117,8 @@ def residual(nodes: DataFrame, settled: DataFrame, edges: DataFrame) -> DataFram
 
 def incremental_rank(nodes: DataFrame, settled: DataFrame, edges: DataFrame, n: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
     """The rank after changes: from the settled p of before, only files whose residual reaches epsilon work."""
-    return rounds(residual(nodes, settled, edges), edges, n, epsilon)
+    state = residual(nodes, settled, edges)
+    return active_rounds(state, edges, n, epsilon) if epsilon else rounds(state, edges, n)
 
 
 def score(p: str = "p") -> F.Column:
@@ -119,7 +144,3 @@ def decayed(df: DataFrame, columns: list[str], elapsed: float, half_life: float)
 def forgotten(state: DataFrame) -> DataFrame:
     """Nodes stay, with nothing settled or to settle; the edges go."""
     return state.withColumns({c: F.lit(0.0) for c in state.columns if c in ("opens", "p", "r", "score")})
-
-
-def worth_saving(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("weight") >= EDGE_MIN_WEIGHT)

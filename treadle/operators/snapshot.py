@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treadle.constants import EDGE_MIN_WEIGHT
+from treadle.constants import ALPHA, EDGE_MIN_WEIGHT
 from treadle.functions.paths import fnv1a_64, joined, relative, relative_ok
 from treadle.plans.blocks import ordinals
 
@@ -19,10 +19,10 @@ EDGE_SCHEMA = "root string, src int, dst int, weight double"
 
 
 def snapshot_nodes(entries: DataFrame, opens: DataFrame) -> DataFrame:
-    """Live entries in byte order of their path, numbered from 0 per root; ``entries`` have a synced score."""
+    """Live entries in byte order of their path, numbered from 0 per root; ``entries`` have a synced score, of which ``pgrk`` is the settled mass."""
     own = entries.where(~F.col("dead")).join(opens.select("root", "path", "opens"), ["root", "path"], "left")
     numbered = ordinals(own.select("root", "path", "is_dir", "score", F.coalesce("opens", F.lit(0.0)).alias("opens")), ["root"], ["path"], "id")
-    return numbered.select("root", "id", "path", relative(F.col("path"), F.col("root")).alias("rel"), F.col("score").alias("pgrk"), "opens", "is_dir")
+    return numbered.select("root", "id", "path", relative(F.col("path"), F.col("root")).alias("rel"), (F.col("score") * (1 - ALPHA)).alias("pgrk"), "opens", "is_dir")
 
 
 def snapshot_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -75,6 +75,26 @@ EVENTS = """ev AS (
     CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'open' WHEN 'purchase' THEN 'edit' WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' END AS kind
   FROM events
 )"""
+TREE = f"""{EVENTS}, items AS (SELECT *, regexp_extract(path, '_([0-9]+)', 1)::BIGINT AS item FROM ev
+), marked AS (SELECT *, (kind = 'delete' AND item % 5 = 0) OR (kind = 'open' AND item = 19) AS is_dir FROM items
+), tree AS (
+  SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS n, root, root || '/d' || (item % 4) || CASE WHEN is_dir THEN '' ELSE '/item_' || item || '.log' END AS path,
+    CASE WHEN kind = 'create' AND item % 2 = 0 THEN 'move_in' ELSE kind END AS kind, is_dir FROM marked
+)"""
+
+
+def tree_life(events: str) -> str:
+    """The files of ``events`` after all of them."""
+    return f"""own AS (SELECT root, path, max(n) AS at, arg_max(kind, n) AS kind FROM {events} WHERE kind IN ('create', 'move_in', 'delete') GROUP BY root, path
+), gone AS (
+  SELECT e.root, e.path, max(d.n) AS n FROM (SELECT DISTINCT root, path FROM {events} WHERE NOT is_dir) e
+  JOIN {events} d ON e.root = d.root AND ((d.kind = 'delete' AND d.is_dir AND starts_with(e.path, d.path || '/')) OR d.kind = 'root_gone') GROUP BY e.root, e.path
+), tlife AS (
+  SELECT e.root, e.path, false AS is_dir, CASE WHEN g.n > coalesce(o.at, 0) THEN true ELSE coalesce(o.kind = 'delete', false) END AS dead
+  FROM (SELECT DISTINCT root, path FROM {events} WHERE NOT is_dir) e LEFT JOIN own o USING (root, path) LEFT JOIN gone g USING (root, path)
+)"""
+
+
 ELIGIBLE = f"""{EVENTS}, elig AS (
   SELECT event_id, ts, root, path, kind FROM (
     SELECT *, coalesce(last_value(CASE kind WHEN 'create' THEN true WHEN 'delete' THEN false END IGNORE NULLS)
@@ -130,7 +150,7 @@ SAVED = f"""{SCORED}, {ENTRIES}, live AS (
   SELECT root, path, is_dir, score FROM entries UNION ALL SELECT root, path, is_dir, score FROM scored WHERE NOT dead
 ), snodes AS (
   SELECT root, (row_number() OVER (PARTITION BY root ORDER BY path) - 1)::INTEGER AS id, path, CASE WHEN path = root THEN '' ELSE substr(path, length(root) + 2) END AS rel,
-    score AS pgrk, coalesce(opens, 0.0::DOUBLE) AS opens, is_dir FROM live LEFT JOIN vis USING (root, path)
+    score * {1 - ALPHA} AS pgrk, coalesce(opens, 0.0::DOUBLE) AS opens, is_dir FROM live LEFT JOIN vis USING (root, path)
 ), sedges AS (
   SELECT e.root, a.id AS src, b.id AS dst, w AS weight FROM (SELECT *, weight * pow(0.5, {Q.SAVED_AFTER / (14 * 86400.0)!r}) AS w FROM edg) e
   JOIN snodes a ON a.root = e.root AND a.path = e.src JOIN snodes b ON b.root = e.root AND b.path = e.dst WHERE w >= {EDGE_MIN_WEIGHT}
@@ -160,6 +180,21 @@ def oracle_sql() -> dict[str, str]:
         "cat_upsert": f"""WITH {FILES}, {OLD} SELECT root, path, coalesce(l.is_dir, o.is_dir) AS is_dir, CASE WHEN l.path IS NOT NULL THEN false ELSE o.dead END AS dead
           FROM old o FULL JOIN listing l USING (root, path)""",
         "cat_lifecycle": f"WITH {EVENTS}, {LIFE} SELECT root, path, is_dir, dead FROM life",
+        "cat_dir_delete": f"WITH {TREE}, {tree_life('tree')} SELECT root, path, is_dir, dead FROM tlife",
+        "cat_root_lost": f"""WITH {TREE}, last AS (SELECT max(n) AS n FROM tree WHERE root = '{T.LOST_ROOT}'),
+          lost AS (SELECT event_id, ts, t.n, root, path, CASE WHEN t.n = last.n THEN 'root_gone' ELSE kind END AS kind, is_dir FROM tree t, last), {tree_life('lost')}
+          SELECT root, CASE WHEN root_lost THEN 0 ELSE indexed END::INTEGER AS indexed, true AS scan_done, 0 AS unwatched, root_lost, index_gen, score_gen
+          FROM (SELECT root, count_if(NOT dead) AS indexed FROM tlife GROUP BY root)
+          JOIN (SELECT root, bool_or(kind = 'root_gone') AS root_lost, count_if(kind IN ('create', 'move_in', 'delete'))::BIGINT AS index_gen, count_if(kind IN ('open', 'edit'))::BIGINT AS score_gen FROM lost GROUP BY root) USING (root)""",
+        "acc_move_in": f"""WITH {TREE}, o AS (
+            SELECT *, last_value(CASE WHEN kind IN ('create', 'move_in', 'delete') THEN n END IGNORE NULLS) OVER w AS changed_at,
+              coalesce(last_value(CASE WHEN kind IN ('create', 'move_in') THEN true WHEN kind = 'delete' THEN false END IGNORE NULLS) OVER w, true) AS live
+            FROM tree WINDOW w AS (PARTITION BY root, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+          ), g AS (
+            SELECT e.n, max(d.n) AS gone FROM tree e JOIN tree d ON e.root = d.root AND d.n < e.n AND d.kind = 'delete' AND d.is_dir AND starts_with(e.path, d.path || '/') GROUP BY e.n
+          )
+          SELECT event_id, root, path, CASE WHEN kind = 'move_in' THEN 'edit' ELSE kind END AS kind FROM o LEFT JOIN g USING (n)
+          WHERE NOT is_dir AND (kind = 'move_in' OR (kind IN ('open', 'edit') AND live AND coalesce(gone, 0) <= coalesce(changed_at, 0)))""",
         "cat_delete_subtree": f"WITH {ENTRIES} SELECT root, path, is_dir, gone AS dead, gone AS newly_dead FROM (SELECT *, path = '{Q.DELETED}' OR starts_with(path, '{Q.DELETED}/') AS gone FROM entries)",
         "cat_diff": f"""WITH {FILES}, {OLD} SELECT root, path, coalesce(l.is_dir, o.is_dir) AS is_dir, l.path IS NULL AS dead FROM old o FULL JOIN listing l USING (root, path)""",
         "cat_diff_unreadable": f"""WITH {FILES}, {OLD} SELECT root, path, coalesce(l.is_dir, o.is_dir) AS is_dir,

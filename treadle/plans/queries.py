@@ -78,6 +78,19 @@ def cat_lifecycle(spark, sf):
     return catalog.lifecycle(T.event_entries(found), found)
 
 
+@query
+def cat_dir_delete(spark, sf):
+    """Deletes of directories, in order with creates and moves of files below them."""
+    found = T.tree_events(spark, sf)
+    return catalog.lifecycle(T.event_entries(found.where("not is_dir")), found)
+
+
+@query
+def cat_root_lost(spark, sf):
+    found = T.lost_events(spark, sf)
+    return catalog.status(catalog.lifecycle(T.event_entries(found.where("not is_dir")), found), found)
+
+
 @query
 def cat_delete_subtree(spark, sf):
     return catalog.delete_subtree(T.entries(spark, sf).select(*catalog.COLUMNS), DELETED)
@@ -238,6 +251,12 @@ def acc_eligible(spark, sf):
     return eligible_events(spark, sf).select("event_id", "root", "path", "kind")
 
 
+@query
+def acc_move_in(spark, sf):
+    """Files moved in are edited, directories aren't opened, and what lies in a deleted directory isn't either."""
+    return access.eligible(T.tree_events(spark, sf)).select("event_id", "root", "path", "kind")
+
+
 @query
 def acc_gaps(spark, sf):
     return access.with_gaps(eligible_events(spark, sf)).select("event_id", "root", F.round("gap", 6).alias("gap"))

@@ -85,6 +85,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(table(spark, sf_dir, "events"))
 
 
+#: The root that is lost in ``lost_events``.
+LOST_ROOT = "/events/r3"
+
+
+def tree_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same activity in four directories a root: creates of even items are moves into the tree, deletes of every fifth item take its
+    whole directory, and opens of the last item are opens of its directory."""
+    item = F.expr("cast(regexp_extract(path, '_([0-9]+)', 1) as bigint)")
+    rows = events(spark, sf_dir).withColumn("item", item)
+    whole = ((F.col("kind") == "delete") & (F.col("item") % 5 == 0)) | ((F.col("kind") == "open") & (F.col("item") == 19))
+    directory = F.concat("root", F.lit("/d"), F.col("item") % 4)
+    path = F.when(whole, directory).otherwise(F.concat(directory, F.lit("/item_"), "item", F.lit(".log")))
+    kind = F.when((F.col("kind") == "create") & (F.col("item") % 2 == 0), "move_in").otherwise(F.col("kind"))
+    return rows.select("event_id", "ts", "root", path.alias("path"), kind.alias("kind"), whole.alias("is_dir"))
+
+
+def lost_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tree_events``, where the last event of one root is that the root goes away."""
+    found = tree_events(spark, sf_dir)
+    last = found.where(F.col("root") == LOST_ROOT).agg(F.max_by("event_id", F.struct("ts", "event_id"))).first()[0]
+    gone = (F.col("root") == LOST_ROOT) & (F.col("event_id") == F.lit(last))
+    return found.withColumn("kind", F.when(gone, "root_gone").otherwise(F.col("kind")))
+
+
 def event_entries(found: DataFrame) -> DataFrame:
     """The files of the events, all alive before the first one."""
     return found.select("root", "path", "is_dir").distinct().withColumn("dead", F.lit(False))

@@ -49,38 +49,68 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/*")
 
 
+class Alive:
+    """Which paths are alive, from creates and deletes in order; what nothing was heard of is. Deletes of directories are kept as such."""
+
+    def __init__(self, changed: dict | None = None, gone: dict | None = None):
+        self.changed, self.gone = changed or {}, gone or {}
+
+    def take(self, kind: str, root: str, path: str, is_dir: bool, at: list) -> None:
+        if kind in catalog.MADE:
+            self.changed.pop(path, None)
+            if self._gone(path):
+                self.changed[path] = [True, at]
+        elif kind == "root_gone" or (kind in catalog.GONE and is_dir):
+            top = root if kind == "root_gone" else path
+            self.gone[top] = at
+            below = f"{top}/"
+            self.changed = {p: c for p, c in self.changed.items() if not p.startswith(below)}
+            self.gone = {d: c for d, c in self.gone.items() if not d.startswith(below)}
+        elif kind in catalog.GONE:
+            self.changed[path] = [False, at]
+
+    def _gone(self, path: str) -> list | None:
+        parts = path.split("/") if self.gone else []
+        above = ["/".join(parts[:k]) for k in range(2, len(parts))]
+        return max((self.gone[d] for d in above if d in self.gone), default=None)
+
+    def __call__(self, path: str) -> bool:
+        made, at = self.changed.get(path, (True, None))
+        gone = self._gone(path)
+        return made and (gone is None or (at is not None and at > gone))
+
+
 def count_events(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One root's events of a batch, in order, against what is kept of those before."""
     rows = pd.concat(parts).sort_values(["ts", "event_id"], kind="stable")
     last_at, last_path, memory = state.get if state.exists else (None, None, None)
-    kept = json.loads(memory) if memory else {"dead": [], "open": [], "edit": [], "edge": []}
-    dead = set(kept["dead"])
+    kept = json.loads(memory) if memory else {"changed": {}, "gone": {}, "open": [], "edit": [], "edge": []}
+    alive = Alive(kept["changed"], kept["gone"])
     rings = {k: RepeatRing([((s, d), at) for (s, d), at in kept[k]]) for k in ("open", "edit", "edge")}
     out = []
     for row in rows.itertuples(index=False):
-        if row.kind in ("create", "move_in"):
-            dead.discard(row.path)
-        elif row.kind in ("delete", "move_out"):
-            dead.add(row.path)
-        elif row.kind in ("open", "edit") and row.path not in dead:
-            now = row.ts.value / 1e9
+        now, is_dir = row.ts.value / 1e9, bool(row.is_dir)
+        alive.take(row.kind, key[0], row.path, is_dir, [row.ts.value, row.event_id])
+        kind = "edit" if row.kind == "move_in" else row.kind
+        if kind in ("open", "edit") and not is_dir and alive(row.path):
             gap = MAX_GAP_SECS + 1 if last_at is None else round(now - last_at, 6)
             last_at = now
             if gap < MIN_GAP_SECS:
                 continue
-            if rings[row.kind].counts((row.path, None), now):
-                out.append((key[0], row.kind, row.ts, row.event_id, row.path, None))
-            if row.kind == "open":
+            if rings[kind].counts((row.path, None), now):
+                out.append((key[0], kind, row.ts, row.event_id, row.path, None))
+            if kind == "open":
                 src = last_path if gap <= MAX_GAP_SECS else None
                 last_path = row.path
                 if src and src != row.path and rings["edge"].counts((src, row.path), now):
                     out.append((key[0], "edge", row.ts, row.event_id, src, row.path))
-    state.update((last_at, last_path, json.dumps({"dead": sorted(dead)} | {k: r.slots for k, r in rings.items()})))
+    state.update((last_at, last_path, json.dumps({"changed": alive.changed, "gone": alive.gone} | {k: r.slots for k, r in rings.items()})))
     yield pd.DataFrame(out, columns=["root", "kind", "ts", "event_id", "src", "dst"])
 
 
 def counted_stream(events: DataFrame) -> DataFrame:
-    """Counted visits and transitions; all files are alive before the first event. State per root: the clock, the last file, three rings, dead paths."""
+    """Counted visits and transitions; all files are alive before the first event. State per root: the clock, the last file, three rings, paths that
+    aren't as they were at first, and directories that were deleted."""
     return events.groupBy("root").applyInPandasWithState(count_events, COUNTED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
