@@ -102,9 +102,9 @@ def test_packing_crc(spark):
 
 
 def brute(rows, k):
-    held = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    held = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, v in held:
+    for i, v in set(held):
         if i % 5 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in held if j != i and len(w) == len(v))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
@@ -117,7 +117,7 @@ def test_top_k_is_exact(spark, monkeypatch, broadcast):
     centres = rng.normal(size=(6, 20))
     rows = [(k, [float(x) for x in (centres[k % 6] + 0.2 * rng.normal(size=20)).astype(np.float32)]) for k in range(300)]
     rows += [(k, rows[0][1]) for k in range(300, 330)]  # ties
-    rows += [(400, None), (405, [None] * 20), (410, [float("nan")] * 20), (None, rows[1][1]), (415, rows[2][1][:7]), (420, []), (0, rows[0][1])]
+    rows += [(400, None), (405, [None] * 20), (410, [float("nan")] * 20), (None, rows[1][1]), (415, rows[2][1][:7]), (420, []), (0, rows[0][1]), (7, rows[7][1]), (7, rows[7][1])]
     monkeypatch.setattr(topk, "BLOCK", 64)
     if not broadcast:
         monkeypatch.setattr(topk, "BROADCAST_BYTES", -1)
@@ -146,4 +146,22 @@ def test_bounds_prune_pairs():
     x = np.floor(1024 * (np.repeat(centres, 400, axis=0) + 0.1 * rng.normal(size=(3200, 64)))).astype(np.int32)
     best = topk.Best(np.arange(0, 3200, 400), x[::400], 10)
     best.add(np.arange(3200), x)
-    assert best.exact_pairs < 8 * 3200
+    assert best.exact_pairs < 0.5 * best.pairs
+    rng = np.random.default_rng(3)  # without any structure only the last bounds prune
+    x = np.floor(1024 * rng.normal(size=(8000, 64)) / 8)
+    best = topk.Best(np.arange(0, 8000, 400), x[::400], 10)
+    best.add(np.arange(8000), x)
+    assert best.exact_pairs < 0.5 * best.pairs
+
+
+def test_packing_follows_no_file_layout(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choices(["some", "words", "of", "text"], k=rng.randint(1, 700))), "x", 0) for k in range(600)]
+    got = packing.pack_documents(spark.createDataFrame(rows, DOCS).repartition(60), VOCAB)
+    fills = [r["n"] for r in got.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(fills) / (packing.WINDOW * len(fills)) > 0.99 and max(fills) <= packing.WINDOW
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got.collect())
+    at = {}
+    for s, offset, n in places:
+        assert offset == at.get(s, 0)
+        at[s] = offset + n

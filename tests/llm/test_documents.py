@@ -42,12 +42,17 @@ def test_sketches_estimate_resemblance_and_merge(spark):
     assert fingerprints.merged_sketches(parts, ["g"]).where("g = 1").first()["sketch"] == rows[0]["s"]
 
 
-@pytest.mark.parametrize("ids", [range(30), [5, -3, 9000, 4097, 4096, 123456789, 40960, 8191], [3]])
-def test_next_documents(spark, ids):
+@pytest.mark.parametrize("ids", [range(30), [5, -3, 9000, 4097, 4096, 123456789, 40960, 8191], [3], [*range(100), *(k * 10**15 - 2**62 for k in range(100))]])
+@pytest.mark.parametrize(("span", "step"), [(1024, 64), (3, 4)])
+def test_next_documents(spark, monkeypatch, ids, span, step):
+    monkeypatch.setattr(fingerprints, "SPAN", span)
+    monkeypatch.setattr(fingerprints, "STEP", step)
     rows = [(i, f"text of {i}") for i in ids]
-    got = {r["id"]: (r["next_text"], r["next_sketch"]) for r in fingerprints.with_next(docs(spark, rows)).collect()}
+    found = fingerprints.with_next(docs(spark, rows)).collect()
+    assert len(found) == len(rows)
+    got = {r["id"]: (r["next_text"], r["next_sketch"]) for r in found}
     order = sorted(ids)
-    sketches = {r["id"]: r["sketch"] for r in fingerprints.with_next(docs(spark, rows)).collect()}
+    sketches = {r["id"]: r["sketch"] for r in found}
     for k, i in enumerate(order):
         after = order[(k + 1) % len(order)]
         assert got[i] == (f"text of {after}", sketches[after])
@@ -84,6 +89,12 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_of_a_long_text_is_linear(spark):
+    text = "\n".join(f"l{k % 60_000}" for k in range(120_000))
+    row = line_dedup.dedup_lines(docs(spark, [(1, text)])).first()
+    assert (row["n_lines"], row["n_removed"], row["text"]) == (120_000, 59_998 + 2, "\n".join(f"l{k}" for k in range(60_000)))
+
+
 def test_line_dedup_odd_rows(spark):
     rows = [(2, "p\nq\nr\ns"), (2, "p\nq\nr\ns"), (3, None), (None, "z\np\nq\nr"), (4, "p\nq"), (5, "P\nq \nR\nend")]
     got = line_dedup.dedup_lines(docs(spark, rows))
@@ -325,15 +336,65 @@ def test_language_learns_and_defines_the_rest(spark):
     kept = {r["doc_id"] for r in language.keep_known(table, net).collect()}
     assert 500 not in kept and 501 not in kept and len(kept) > 230
     assert {r["lang_pred"] for r in language.predict(table, language.fit(table, F.lit(False))).collect()} == {"und"}
+    assert language.keep_known(table, None).count() == table.count()
+
+
+def test_temperature_is_the_likeliest():
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(4000, 3)) * 2
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    labels = np.array([rng.choice(3, p=row) for row in p])
+    assert abs(language.calibrated(logits * 3, labels) / 3 - 1) < 0.15
+
+
+def test_language_scores_equal_plain_windows(spark):
+    net = language.Network(["x", "y", "z"])
+    rng = random.Random(4)
+    rows = [(k, "a" + "".join(rng.choices("abc ñß", k=n))) for k, n in enumerate([1, 5, 255, 256, 257, 700, 2000])]
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs(spark, rows), net).collect()}
+    for k, text in rows:
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language.WINDOW):
+            own = np.frombuffer((raw[at : at + language.WINDOW + 3] + b"\0" * (language.WINDOW + 3))[: language.WINDOW + 3], np.uint8)
+            pooled = [np.max([sum(net.embed[own[t + j]] @ kernel[j] for j in range(w)) for t in range(language.WINDOW)], axis=0) for w, kernel in zip(language.WIDTHS, net.kernels, strict=True)]
+            logits = np.maximum(np.concatenate(pooled) + net.shift, 0) @ net.out + net.bias
+            total += logits * min(language.WINDOW, len(raw) - at)
+        p = np.exp(total / len(raw)) / np.exp(total / len(raw)).sum()
+        assert got[k][0] == net.classes[int(p.argmax())] and abs(got[k][1] - p.max()) < 1e-4
+
+
+def test_toxicity_scores_equal_plain_averages():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -0.3)
+    texts = ["one two three", "", "solo", "a b " * 500 + "rare", "Ünï çode, words! here"]
+    for text, score in zip(texts, toxicity.Scorer(model).scores(texts), strict=True):
+        own = toxicity.words(text)
+        values = [float(np.mean([model.along[b] for b in toxicity.subwords([w])[0]])) for w in own]
+        parts = [np.mean(values[k : k + toxicity.SEGMENT_WORDS]) for k in range(0, len(values), toxicity.SEGMENT_WORDS)]
+        weights = [np.exp(toxicity.SHARPNESS * p) for p in parts]
+        margin = sum(w * p for w, p in zip(weights, parts, strict=True)) / sum(weights) if parts else 0.0
+        assert abs(score - 1 / (1 + np.exp(-margin + 0.3))) < 1e-6
+
+
+def test_quality_scores_equal_plain_sums():
+    rng = np.random.default_rng(6)
+    model = quality.Model([0.0, 0.5, 2.0], rng.normal(size=quality.BUCKETS), np.array([-0.5, 0.7]))
+    texts = ["One two two 33!", None, "  ", "x\ny"]
+    for k, (expected, tail) in enumerate(zip(*quality.Scorer(model).scores(texts), strict=True)):
+        tokens = (texts[k] or "").split()
+        margin = sum(model.weights[f] for t in tokens for f in quality.token_features(t)) / max(1, len(tokens))
+        margin += sum(model.weights[f] * x for f, x in quality.text_features(texts[k]).items())
+        above = [1 / (1 + np.exp(-(margin - t))) for t in model.thresholds]
+        assert abs(expected - (above[0] * 0.5 + above[1] * 1.5)) < 1e-9 and abs(tail - above[1]) < 1e-9
 
 
 def test_tables_equal_plain_convolution():
     net = language.Network(["x", "y"])
     raw = np.random.default_rng(9).integers(1, 256, 2 * language.WINDOW, dtype=np.uint8)
     flat = np.concatenate([raw, np.zeros(3, np.uint8)])
-    got = language.Tables(net).logits(flat)
-    for k in range(2):
-        own = flat[k * language.WINDOW : (k + 1) * language.WINDOW + 3]
+    rows = np.stack([flat[k * language.WINDOW : (k + 1) * language.WINDOW + 3] for k in range(2)])
+    got = language.Tables(net).logits(rows)
+    for k, own in enumerate(rows):
         pooled = [np.max([sum(net.embed[own[t + j]] @ kernel[j] for j in range(w)) for t in range(language.WINDOW)], axis=0) for w, kernel in zip(language.WIDTHS, net.kernels, strict=True)]
         assert np.allclose(got[k], np.maximum(np.concatenate(pooled) + net.shift, 0) @ net.out + net.bias, atol=1e-4)
 

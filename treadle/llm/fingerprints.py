@@ -23,9 +23,10 @@ from treadle.llm.common import let
 K = 256
 HASH_BITS = 48
 SHINGLE_WORDS = 5
-#: Ids are grouped by id div SPAN, so a group has SPAN distinct ids at most; the table of groups is broadcast up to HEADS rows of 24 bytes.
+#: Rows of a group of neighbouring ids, about; groups at most, whose least ids are broadcast; and how many of their limits are compared at once.
 SPAN = 1024
-HEADS = 1_000_000
+GROUPS = 4096
+STEP = 64
 
 
 def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -76,33 +77,48 @@ def merged_sketches(sketches: DataFrame, by: list[str], col: str = "sketch", k:
     return rows.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias(col))
 
 
-def _heads(ids: DataFrame) -> DataFrame:
-    """(head, before): the least id of each group of ids, and the group that comes before, the last group for the first.
+def _limits(ids: DataFrame) -> list[int]:
+    """Ids that part the rows into groups of about equal size, however the ids are spread; from approximate percentiles."""
+    groups = min(GROUPS, -(-ids.count() // SPAN))
+    if groups < 2:
+        return []
+    places = [k / groups for k in range(1, groups)]
+    found = ids.agg(F.percentile_approx("id", places, 10 * GROUPS).alias("x")).first()["x"]
+    return sorted(set(found))
 
-    Groups are put in order in two steps: inside runs of SPAN groups, then over the runs' ends, of which there is one
-    for SPAN * SPAN ids, so no task orders more than that.
-    """
-    groups = ids.groupBy(F.floor(F.col("id") / SPAN).alias("g")).agg(F.min("id").alias("head")).withColumn("run", F.floor(F.col("g") / SPAN))
-    inside = groups.withColumn("before", F.lag("g").over(Window.partitionBy("run").orderBy("g")))
-    ends = groups.groupBy("run").agg(F.max("g").alias("end"))
+
+def _group(limits: list[int]) -> Column:
+    """How many limits an id reaches, in two steps of comparisons."""
+    if not limits:
+        return F.lit(0)
+    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    reached = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("id")))
+    if len(limits) <= STEP:
+        return reached(listed(limits))
+    coarse = reached(listed(limits[STEP - 1 :: STEP]))
+    return let(coarse, lambda c: c * STEP + reached(F.slice(listed(limits), c * STEP + 1, STEP)))
+
+
+def _heads(ids: DataFrame, group: Column) -> DataFrame:
+    """(head, before): the least id of each of the GROUPS groups at most, and the group that comes before, the last group for the first."""
+    groups = ids.groupBy(group.alias("g")).agg(F.min("id").alias("head"))
     whole = Window.partitionBy(F.lit(0))
-    ends = ends.withColumn("last_end", F.lag("end").over(whole.orderBy("run"))).withColumn("final", F.max("end").over(whole))
-    linked = inside.join(ends.select("run", F.coalesce("last_end", "final").alias("across")), "run")
-    return linked.select("head", F.coalesce("before", "across").alias("before"))
+    return groups.select("head", F.coalesce(F.lag("g").over(whole.orderBy("g")), F.max("g").over(whole)).alias("before"))
 
 
 def with_next(docs: DataFrame, carried: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, sketch, next_text, next_sketch), one shuffle of the texts by group of ids; ``carried`` is the sketch of column text.
 
-    The first document of each group also travels, as a guest, to the group before, where it follows the last one.
+    The first document of each group also travels, as a guest, to the group before, where it follows the last one. The rows of one id
+    are put in order together; they spill.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    heads = _heads(rows.where("id is not null").select("id"))
-    few = rows.where("id is not null").agg(F.count_distinct(F.floor(F.col("id") / SPAN))).first()[0] <= HEADS
-    heads = F.broadcast(heads) if few else heads
+    ids = rows.where("id is not null").select("id")
+    group = _group(_limits(ids))
+    heads = F.broadcast(_heads(ids, group))
     rows = rows.join(heads, rows["id"] == heads["head"], "left")
-    rows = rows.withColumn("own", F.coalesce(F.floor(F.col("id") / SPAN), -1 - F.abs(F.xxhash64("text") % SPAN)))
-    places = F.when(F.col("head").isNull(), F.array(F.struct(F.col("own").alias("g"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("own").alias("g"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("g"), F.lit(1).alias("guest"))))
+    rows = rows.withColumn("own", F.when(F.col("id").isNotNull(), group).otherwise(-1 - F.abs(F.xxhash64("text") % SPAN)).cast("long"))
+    places = F.when(F.col("head").isNull(), F.array(F.struct(F.col("own").alias("g"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("own").alias("g"), F.lit(0).alias("guest")), F.struct(F.col("before").cast("long").alias("g"), F.lit(1).alias("guest"))))
     rows = rows.select("id", "text", F.explode(places).alias("p")).select("id", "text", F.col("p.g").alias("g"), F.col("p.guest").alias("guest"), F.col("id").isNull().alias("apart"))
     rows = rows.repartition("g", "apart").withColumn("sketch", sketch(F.col("text")) if carried is None else carried)
     order = Window.partitionBy("g", "apart").orderBy("guest", "id", "text")

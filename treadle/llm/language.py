@@ -7,7 +7,8 @@ windows' logits, weighted by their bytes. For speed the trained filters become t
 same sums.
 
 It is fitted on a bounded sample: about SAMPLE texts of each language, chosen by a hash of id and text, with three windows of
-each at places that the hash gives. Predictions read whole texts.
+each at places that the hash gives. A fifth of the texts is held out of the training, and the temperature that divides logits is the one
+that makes their probabilities likeliest, so a score says how often a prediction is right. Predictions read whole texts.
 
 A null text, or one without a letter, is `und` with score 1; so is every text if there is nothing to learn from (score
 0). Repeated rows each get their prediction, equal texts the same; ties go to the language that sorts first. Further
@@ -27,11 +28,14 @@ SAMPLE = 800
 PLACES = 3
 #: Learned from at most; more values of the column are an error.
 LANGUAGES = 1000
+#: Sampled texts from which on some are held out.
+LEAST_HELD = 50
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 DIMS = 8
 UNKNOWN = "und"
+TEMPERATURES = tuple(float(t) for t in np.geomspace(0.25, 8, 41))
 
 
 class Network:
@@ -45,6 +49,7 @@ class Network:
         self.shift = np.zeros(n, np.float32)
         self.out = rng.normal(0, 1 / np.sqrt(n), (n, len(classes))).astype(np.float32)
         self.bias = np.zeros(len(classes), np.float32)
+        self.temperature = 1.0
 
     def params(self) -> list[np.ndarray]:
         return [self.embed, *self.kernels, self.shift, self.out, self.bias]
@@ -87,6 +92,16 @@ class Network:
                 p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
 
 
+def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The temperature, from TEMPERATURES, with the least mean log loss."""
+
+    def loss(t: float) -> float:
+        x = logits / t - (logits / t).max(1, keepdims=True)
+        return float(np.mean(np.log(np.exp(x).sum(1)) - x[np.arange(len(x)), labels]))
+
+    return min(TEMPERATURES, key=loss)
+
+
 class Tables:
     """The filters as sums over pairs of bytes: the pair at a place, and the pair two further on."""
 
@@ -98,33 +113,33 @@ class Tables:
         self.here = np.ascontiguousarray(np.concatenate([pair(*one[0]), pair(*one[1][:2]), pair(*one[2][:2])], 1))
         self.ahead = np.ascontiguousarray(np.concatenate([pair(one[1][2], zero), pair(*one[2][2:])], 1))
 
-    def logits(self, flat: np.ndarray) -> np.ndarray:
-        """flat: whole windows of bytes, one after another, and three bytes more."""
-        n = (len(flat) - 3) // WINDOW
-        out = np.empty((n, len(self.net.classes)), np.float32)
-        wide = flat.astype(np.uint16)
-        pairs = (wide[:-1] << 8) | wide[1:]
-        for k in range(0, n, 64):
-            m = min(64, n - k)
-            at, to = k * WINDOW, (k + m) * WINDOW
-            conv = self.here[pairs[at:to]]
-            conv[:, FILTERS:] += self.ahead[pairs[at + 2 : to + 2]]
-            hidden = conv.reshape(m, WINDOW, -1).max(1) + self.net.shift
-            out[k : k + m] = np.maximum(hidden, 0) @ self.net.out + self.net.bias
+    def logits(self, rows: np.ndarray) -> np.ndarray:
+        """rows: (n, WINDOW + 3) bytes, each window with the three that follow it in its text."""
+        out = np.empty((len(rows), len(self.net.classes)), np.float32)
+        for k in range(0, len(rows), 64):
+            wide = rows[k : k + 64].astype(np.uint16)
+            pairs = (wide[:, :-1] << 8) | wide[:, 1:]
+            conv = self.here[pairs[:, :WINDOW]]
+            conv[:, :, FILTERS:] += self.ahead[pairs[:, 2:]]
+            hidden = conv.max(1) + self.net.shift
+            out[k : k + 64] = np.maximum(hidden, 0) @ self.net.out + self.net.bias
         return out
 
     def predict(self, texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
         """The class and its probability for each text, given as bytes."""
         sizes = np.array([len(t) for t in texts])
-        counts = np.maximum(1, -(-(sizes + 3) // WINDOW))
+        counts = np.maximum(1, -(-sizes // WINDOW))
         first = np.cumsum(counts) - counts
-        flat = np.zeros(int(counts.sum()) * WINDOW + 3, np.uint8)
-        for t, k in zip(texts, first, strict=True):
-            flat[k * WINDOW : k * WINDOW + len(t)] = np.frombuffer(t, np.uint8)
-        logits = self.logits(flat).astype(np.float64)
+        rows = np.zeros((int(counts.sum()), WINDOW + 3), np.uint8)
+        for t, k, n in zip(texts, first, counts, strict=True):
+            own = np.zeros(n * WINDOW + 3, np.uint8)  # no byte of another text follows
+            own[: len(t)] = np.frombuffer(t, np.uint8)
+            rows[k : k + n] = np.lib.stride_tricks.as_strided(own, (n, WINDOW + 3), (WINDOW, 1))
+        logits = self.logits(rows).astype(np.float64)
         place = np.arange(counts.sum()) - np.repeat(first, counts)
         weight = np.clip(np.repeat(sizes, counts) - place * WINDOW, 0, WINDOW).astype(np.float64)
         total = np.add.reduceat(logits * weight[:, None], first) / np.maximum(np.add.reduceat(weight, first), 1)[:, None]
+        total /= self.net.temperature
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         return p.argmax(1), p.max(1)
@@ -150,9 +165,14 @@ def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
     wanted = known.join(F.broadcast(shares), "lang").where(chance < F.col("share") * (1 << 30))
     places = [F.substring("text", 1 + F.pmod(F.xxhash64(F.lit(j), "id"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int"), F.lit(WINDOW)) for j in range(PLACES)]
     rows = wanted.select("lang", F.array(*places).alias("windows"), chance.alias("chance")).orderBy("chance").limit(2 * SAMPLE * len(totals)).collect()
-    rows = sorted((w, r["lang"]) for r in rows for w in r["windows"])
+    rows = sorted((tuple(r["windows"]), r["lang"]) for r in rows)
     net = Network(sorted(totals))
-    net.train(np.stack([window_bytes(w) for w, _ in rows]), np.array([net.classes.index(k) for _, k in rows]))
+    code = lambda part: (np.stack([window_bytes(w) for ws, _ in part for w in ws]), np.repeat([net.classes.index(k) for _, k in part], PLACES))
+    apart = [k % 5 == 0 for k in range(len(rows))] if len(rows) >= LEAST_HELD else [False] * len(rows)
+    net.train(*code([r for r, out in zip(rows, apart, strict=True) if not out]))
+    if any(apart):
+        windows, labels = code([r for r, out in zip(rows, apart, strict=True) if out])
+        net.temperature = calibrated(Tables(net).logits(windows).astype(np.float64), labels)
     return net
 
 
@@ -174,9 +194,9 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language and a score of at least ``least``, with all their columns."""
+    """The rows of ``docs`` with a letter and a score of at least ``least``, with all their columns; all rows, where no language was learned."""
     if net is None:
-        return docs.limit(0)
+        return docs
     at = docs.columns.index(text_col)
     letters = docs.where(F.col(text_col).rlike(r"\p{L}"))
 

@@ -61,7 +61,7 @@ def merged(starts: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later occurrences' lines cut from the text, and n_lines and n_removed after the other columns."""
     gone = covered_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), F.col("tag").alias("gone_tag"), merged(F.col("starts")).alias("covered"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["gone_id"]) & (rows["tag"] == gone["gone_tag"]), "left")
     lines = F.split("text", "\n", -1)
     stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "covered")

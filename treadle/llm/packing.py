@@ -1,28 +1,36 @@
 """Best-fit-decreasing packing of tokenised documents into fixed windows.
 
 Documents longer than a window are first cut into full windows; what remains of each is placed, longest first, into
-the open window with the least room that still holds it. A segment tree over remaining room finds that window. Work is
-done per input partition in rounds of a bounded number of tokens; windows that still have room stay open for the next
-round, so a task holds one round's tokens and the open windows' room, whatever its input.
+the open window with the least room that still holds it. A segment tree over remaining room finds that window. A first round works
+where the texts are read, on a bounded number of tokens at a time; windows that still have room stay open for the next
+lot, so a task holds one lot's tokens and the open windows' room, whatever its input. Its pieces are kept in the shared folder. Those in
+windows that end with more than SLACK free are then taken out and packed anew, in tasks of about LOT_TOKENS each,
+so that the padding doesn't follow how many files or parts the texts come in.
 
 Null text counts as empty: such a document still has its end-of-document id. Equal lengths are placed in input order.
-Repeated rows are packed each on its own; a null id is kept. Further columns of the input aren't read. An empty table
-gives no rows. Sequence ids are unique within one execution: the task's number and a counter.
+Repeated rows are packed each on its own; a null id is kept. A very long text is encoded whole, in its own row. Further columns of
+the input aren't read. An empty table gives no rows. Sequence ids are unique: the round, the task's number and a counter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from treadle.llm.bpe import codec
+from treadle.llm.common import stored
 
 WINDOW = 1024
-ROUND_TOKENS = 4_000_000
+LOT_TOKENS = 4_000_000
+#: Free places of a window that are left as they are.
+SLACK = 8
+#: Sequence ids are broadcast up to this many (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -90,42 +98,68 @@ class Packer:
         return out
 
 
+def placed_rows(held: list[tuple], packer: Packer) -> Iterator[pa.RecordBatch]:
+    """Pieces of (document, place of the first id there, ids, the document's ids), and where the packer puts them."""
+    placed = packer.place([len(ids) for _, _, ids, _ in held])
+    for k in range(0, len(placed), 2048):
+        part = placed[k : k + 2048]
+        own = [held[d] for d, *_ in part]
+        found = [ids[start : start + packer.size] for (_, start, _, _), (_, _, ids, _) in zip(part, own, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([doc for doc, *_ in own], pa.int64()),
+                pa.array([first + start for (_, start, _, _), (_, first, _, _) in zip(part, own, strict=True)], pa.int64()),
+                pa.array([len(x) for x in found], pa.int64()),
+                pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()),
+                pa.array([tokens for *_, tokens in own], pa.int64()),
+                pa.array([s for _, _, s, _ in part], pa.int64()),
+                pa.array([o for _, _, _, o in part], pa.int64()),
+            ],
+            ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+        )
+
+
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document, its first token's place there, its ids, its sequence and its place in that."""
 
-    def rows(held: list, packer: Packer) -> Iterator[pa.RecordBatch]:
-        placed = packer.place([len(ids) for _, ids in held])
-        for k in range(0, len(placed), 2048):
-            part = placed[k : k + 2048]
-            own = [held[d] for d, *_ in part]
-            pieces = [ids[start : start + window] for (_, start, _, _), (_, ids) in zip(part, own, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x for x, _ in own], pa.int64()),
-                    pa.array([start for _, start, _, _ in part], pa.int64()),
-                    pa.array([len(x) for x in pieces], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in pieces], pa.binary()),
-                    pa.array([len(ids) for _, ids in own], pa.int64()),
-                    pa.array([s for _, _, s, _ in part], pa.int64()),
-                    pa.array([o for _, _, _, o in part], pa.int64()),
-                ],
-                ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer = codec(path), Packer(window, TaskContext.get().partitionId() << 40)
-        held, tokens = [], 0
+    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        code = codec(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.append(code.encode(text or ""), np.uint32(end_id))
-                    held.append((doc, ids))
-                    tokens += len(ids)
-                    if tokens >= ROUND_TOKENS:
-                        yield from rows(held, packer)
-                        held, tokens = [], 0
-        yield from rows(held, packer)
+                    yield doc, 0, ids, len(ids)
 
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return plain.mapInArrow(run, SCHEMA)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for doc, start, ids, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                yield doc, start, np.frombuffer(ids, np.uint32), tokens
+
+    def packed(first: int, read) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packer = Packer(window, first + (TaskContext.get().partitionId() << 40))
+            held, tokens = [], 0
+            for row in read(batches):
+                held.append(row)
+                tokens += len(row[2])
+                if tokens >= LOT_TOKENS:
+                    yield from placed_rows(held, packer)
+                    held, tokens = [], 0
+            yield from placed_rows(held, packer)
+
+        return run
+
+    done = stored(plain.mapInArrow(packed(0, encode), SCHEMA))
+    fills = done.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    loose = fills.where(F.col("fill") < window - SLACK)
+    n, tokens = loose.agg(F.count("*"), F.sum("fill")).first()
+    if n < 2:
+        return done
+    loose = stored(loose.select("sequence_id"))
+    loose = F.broadcast(loose) if n <= BROADCAST_ROWS else loose
+    again = done.join(loose, "sequence_id", "left_semi").select("id", "start", "ids", "doc_tokens", "sequence_id", "offset")
+    again = again.repartition(max(1, -(-tokens // LOT_TOKENS)), F.xxhash64("sequence_id", "offset")).select("id", "start", "ids", "doc_tokens")
+    return done.join(loose, "sequence_id", "left_anti").select(*done.columns).unionByName(again.mapInArrow(packed(1 << 62, pieces), SCHEMA))
