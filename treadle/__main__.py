@@ -83,7 +83,7 @@ def run(argv: list[str], spark=None) -> int:
     if asked.json:
         print(engine.reply(asked.text, asked.limit))
         return 0 if not engine.query(asked.text, 1).isEmpty() else 1
-    hits = [r["path"] for r in engine.query(asked.text, asked.limit).collect()]
+    hits = engine.lines(asked.text, asked.limit)
     print("\n".join(hits))
     return 0 if hits else 1
 

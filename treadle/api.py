@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treadle.constants import DECAY_INTERVAL_SECS, HALF_LIFE_SECS, SNAPSHOT_SECS, TOP_K
+from treadle.functions import tokens
 from treadle.operators import access, catalog, rank, reply, search, snapshot
-from treadle.plans.storage import stored
+from treadle.plans.storage import stored, stored_sorted
 
 ENTRY = "root string, path string, is_dir boolean, dead boolean"
 OPENS = "root string, path string, opens double"
 EDGES = "root string, src string, dst string, weight double"
 RANK = "root string, path string, p double, r double"
+#: Parts of the postings from which on they are written as one.
+PARTS = 16
 
 
 class Engine:
@@ -27,6 +30,8 @@ class Engine:
         self.spark, self.root, self.folder, self.half_life, self.identity = spark, root, folder, half_life, identity
         empty = lambda schema: spark.createDataFrame([], schema)
         self.entries, self.opens, self.edges, self.rank = empty(ENTRY), empty(OPENS), empty(EDGES), empty(RANK)
+        self.postings: DataFrame | None = None  # of every path that was ever known, in parts sorted by token
+        self.parts, self._scored = 0, None
         self.lister, self.root_lost, self.last_save = lister, False, int(time.time())
         self.last_decay, self.changed, self.scan_done, self.index_gen, self.score_gen = int(time.time()), False, False, 0, 0
 
@@ -45,23 +50,40 @@ class Engine:
         ends = nodes.select("root", "path", "id")
         named = edges.join(ends.withColumnsRenamed({"id": "src", "path": "src_path"}), ["root", "src"]).join(ends.withColumnsRenamed({"id": "dst", "path": "dst_path"}), ["root", "dst"])
         self.edges = named.select("root", F.col("src_path").alias("src"), F.col("dst_path").alias("dst"), "weight")
+        self._index(self.entries)
         self.last_decay = head["last_decay"] or int(time.time())
         self.decay(int(time.time()))
         return True
 
+    def _index(self, fresh: DataFrame) -> None:
+        """Add the tokens of new entries; many small parts become one."""
+        self._scored = None
+        found = stored_sorted(tokens.postings(fresh), "token")
+        self.postings = found if self.postings is None else self.postings.unionByName(found)
+        self.parts += 1
+        if self.parts > PARTS:
+            self.postings, self.parts = stored_sorted(self.postings, "token"), 1
+
+    def _replace(self, after: DataFrame) -> None:
+        before, self.entries = self.entries, stored(after)
+        fresh = self.entries.join(before, catalog.KEYS, "left_anti")
+        if not fresh.isEmpty():
+            self._index(fresh)
+        self._scored = None
+
     def reconcile(self, listing: DataFrame, unreadable: DataFrame | None = None) -> None:
         """Take in a complete listing (root, path, is_dir)."""
-        self.entries = stored(catalog.reconcile(self.entries, catalog.visible_entries(listing), unreadable))
+        self._replace(catalog.reconcile(self.entries, catalog.visible_entries(listing), unreadable))
         self.scan_done, self.changed, self.index_gen = True, True, self.index_gen + 1
 
     def record(self, events: DataFrame) -> None:
         """Take in events (event_id, ts, root, path, kind, is_dir), in their own order. After an ``overflow`` the tree is listed again; with
         ``root_gone`` the root is lost."""
         counts = stored(access.counted(access.candidates(access.gated(access.eligible(events, self.entries)))))
-        self.entries = stored(catalog.lifecycle(self.entries, events))
+        self._replace(catalog.lifecycle(self.entries, events))
         self.opens = stored(rank.apply_opens(self.opens, access.visit_weights(counts)))
         self.edges = stored(rank.apply_deltas(self.edges, access.edge_weights(counts)))
-        self.rank = stored(rank.incremental_rank(self.opens, self.rank, self.edges))
+        self.rank, self._scored = stored(rank.incremental_rank(self.opens, self.rank, self.edges)), None
         self.changed, self.index_gen, self.score_gen = True, self.index_gen + 1, self.score_gen + 1
         special = {r["kind"] for r in events.where(F.col("kind").isin("overflow", "root_gone")).select("kind").distinct().collect()}
         self.root_lost = self.root_lost or "root_gone" in special
@@ -77,11 +99,21 @@ class Engine:
         return self.save()
 
     def scored(self) -> DataFrame:
-        return rank.synced(self.entries, self.rank)
+        """The catalog with scores, joined once after each change."""
+        if self._scored is None:
+            self._scored = stored(rank.synced(self.entries, self.rank))
+        return self._scored
 
     def query(self, text: str, limit: int = TOP_K) -> DataFrame:
+        """The best hits; parts of names are looked up in the postings."""
+        if self.postings is not None and search.by_token(text):
+            return search.top(search.indexed_matches(self.scored(), self.postings, self.root, text), limit)
         return search.search(self.scored(), self.root, text, limit)
 
+    def lines(self, text: str, limit: int = TOP_K) -> list[str]:
+        """The hits' paths, the best first: 20 at most."""
+        return [r["path"] for r in reply.plain_lines(reply.best_first(self.query(text, limit))).collect()]
+
     def status(self) -> dict:
         live = self.entries.where(~F.col("dead")).count()
         return {"root": self.root, "indexed": 0 if self.root_lost else live, "scan_done": self.scan_done, "unwatched": 0, "root_lost": self.root_lost, "index_gen": self.index_gen, "score_gen": self.score_gen}
@@ -98,12 +130,16 @@ class Engine:
         if elapsed < DECAY_INTERVAL_SECS or self.half_life <= 0:
             return
         less = lambda df, c: stored(rank.decayed(df, c, elapsed, self.half_life))
+        self._scored = None
         self.opens, self.edges, self.rank = less(self.opens, ["opens"]), less(self.edges, ["weight"]), less(self.rank, ["p", "r"])
+        self.postings: DataFrame | None = None  # of every path that was ever known, in parts sorted by token
+        self.parts, self._scored = 0, None
         self.lister, self.root_lost, self.last_save = lister, False, int(time.time())
         self.last_decay, self.changed, self.score_gen = now, True, self.score_gen + 1
 
     def forget(self) -> None:
         """Drop the history; the catalog stays."""
+        self._scored = None
         self.opens, self.edges, self.rank = self.opens.limit(0), self.edges.limit(0), self.rank.limit(0)
         self.changed, self.score_gen = True, self.score_gen + 1
 

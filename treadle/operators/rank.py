@@ -77,22 +77,22 @@ def active_rounds(state: DataFrame, edges: DataFrame, n: int, epsilon: float) ->
     A round joins the active files with the shares of their edges; files that get something for the first time are
     looked up. Few active files are broadcast, so neither the edges nor the other files are shuffled.
     """
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     state, of = stored(state), stored(shares(edges), ["root", "src"])
     active = F.abs("r") >= epsilon
     touched = stored(state.where(active))
     for _ in range(n):
         front = touched.where(active).select("root", F.col("path").alias("src"), "r")
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
-        got = of.join(few(front), ["root", "src"]).groupBy("root", F.col("dst").alias("path")).agg(F.sum(ALPHA * F.col("r") * F.col("share")).alias("got"))
-        got = stored(got)
-        fresh = state.join(few(got.select(*NODE).join(touched, NODE, "left_anti")), NODE, "left_semi")
+        got = stored(of.join(few(front, size), ["root", "src"]).groupBy("root", F.col("dst").alias("path")).agg(F.sum(ALPHA * F.col("r") * F.col("share")).alias("got")))
+        fresh = state.join(few(got.select(*NODE).join(touched, NODE, "left_anti"), got.count()), NODE, "left_semi")
         p = F.when(active, F.col("p") + (1 - ALPHA) * F.col("r")).otherwise(F.col("p"))
         r = F.when(active, 0.0).otherwise(F.col("r")) + F.coalesce("got", F.lit(0.0))
         before, touched = touched, stored(touched.unionByName(fresh).join(got, NODE, "left").select(*NODE, p.alias("p"), r.alias("r")))
         release(before, got)
-    return state.join(few(touched.select(*NODE)), NODE, "left_anti").unionByName(touched)
+    return state.join(few(touched.select(*NODE), touched.count()), NODE, "left_anti").unionByName(touched)
 
 
 def with_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:

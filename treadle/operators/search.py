@@ -12,12 +12,6 @@ from treadle.functions.tokens import probe_segments
 HIT = ["path", "is_dir", "tier", "score"]
 
 
-def with_parent(entries: DataFrame) -> DataFrame:
-    """Entries with the directory they are in, for equality instead of a prefix."""
-    path = F.col("path")
-    return entries.withColumn("parent", F.when(F.locate("/", path) > 0, F.substring(path, F.lit(1), F.length(path) - F.length(basename(path)) - 1)))
-
-
 def live(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("dead"))
 
@@ -41,12 +35,15 @@ def token_matches(entries: DataFrame, root: str, text: str) -> DataFrame:
     return own.withColumn("tier", tier(F.col("path"), text))
 
 
+def by_token(text: str) -> bool:
+    """Whether a query looks for a part of a name."""
+    return len(text.encode()) > 1 and "/" not in text
+
+
 def matches(entries: DataFrame, root: str, text: str) -> DataFrame:
     if not text:
         return root_matches(entries, root)
-    if len(text.encode()) == 1 or "/" in text:
-        return prefix_matches(entries, root, text)
-    return token_matches(entries, root, text)
+    return token_matches(entries, root, text) if by_token(text) else prefix_matches(entries, root, text)
 
 
 def top(found: DataFrame, limit: int = TOP_K) -> DataFrame:

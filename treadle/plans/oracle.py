@@ -61,6 +61,14 @@ SELECT path, is_dir, tier::INTEGER AS tier, score, rank::INTEGER AS rank FROM (S
 
 
 ALL_MATCHES = " UNION ALL ".join(f"SELECT {k} AS qid, path, is_dir, {where(t)[1]} AS tier, score FROM entries WHERE {where(t)[0]}" for k, t in enumerate(T.TEXTS))
+REPLIES = f"""{ENTRIES}, m AS ({ALL_MATCHES}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, score DESC, path) AS rank FROM m
+), t AS (
+  SELECT q.qid::INTEGER AS qid, count(r.path) AS total, count(CASE WHEN rank <= {TOP_K} THEN 1 END) AS hits,
+    coalesce(string_agg('{{"path":"' || replace(replace(path, '\\', '\\\\'), '"', '\\"') || '","score":' || printf('%.4f', score) || ',"is_dir":' || is_dir::VARCHAR || '}}', ',' ORDER BY rank) FILTER (rank <= {TOP_K}), '') AS list
+  FROM range({len(T.TEXTS)}) AS q(qid) LEFT JOIN r ON r.qid = q.qid GROUP BY q.qid
+), replies AS (
+  SELECT qid, total, hits, '{{"total":' || total || ',"root":"{T.ROOT}","indexed":' || (SELECT count(*) FROM entries) || ',"scan_done":true,"unwatched":0,"root_lost":false,"index_gen":0,"score_gen":0,"hits":[' || list || ']}}' AS reply FROM t
+)"""
 TOKENS = f"""{ENTRIES}, names AS (SELECT root, path, {BASE} AS name FROM entries), segs AS (
   SELECT root, path, unnest(list_filter(string_split_regex(name, '[.\\-_ ]'), lambda x: x <> '')) AS segment FROM names
 ), postings AS (
@@ -266,6 +274,11 @@ def oracle_sql() -> dict[str, str]:
           JOIN (SELECT root, count_if(kind IN ('create', 'delete'))::BIGINT AS index_gen, count_if(kind IN ('open', 'edit'))::BIGINT AS score_gen FROM ev GROUP BY root) USING (root)""",
     }
     own |= {name: hits(t) for name, t in Q.SEARCHES.items()}
+    own["reply_json"] = f"WITH {REPLIES} SELECT qid, reply FROM replies"
+    own["reply_parse"] = f"WITH {REPLIES} SELECT true AS ok, total::INTEGER AS total, hits::INTEGER AS hits, '{T.ROOT}' AS root FROM replies"
+    digit = lambda at: f"position(substr(hex(encode(root)), {at}, 1) IN '0123456789ABCDEF') - 1"
+    own["snap_name"] = f"""SELECT root, lpad(printf('%x', list_reduce(list_prepend({0xCBF29CE484222325}::UHUGEINT, list_transform(range(0, octet_length(encode(root))::INTEGER), lambda i: (16 * ({digit('2 * i + 1')}) + {digit('2 * i + 2')})::UHUGEINT)),
+      lambda h, b: (xor(h, b) * {0x100000001B3}::UHUGEINT) % {1 << 64}::UHUGEINT)::UBIGINT), 16, '0') AS name FROM {values([(r,) for r in Q.ROOTS], 'root')}"""
     own["tok_probe"] = f"WITH {TOKENS} SELECT * FROM (" + " UNION ALL ".join(probe(t) for t in Q.PROBE_TEXTS) + ")"
     own |= {"stream_events": f"WITH {EVENTS} SELECT *, false AS is_dir FROM ev", "stream_apply": own["cat_lifecycle"], "stream_counted": own["acc_counted"], "stream_rank": own["pr_full"]}
     return own
