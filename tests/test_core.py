@@ -359,6 +359,20 @@ def test_batches_equal_one_run(spark, tmp_path):
     assert ranked.keys() == want.keys() and all(abs(ranked[k] - want[k]) < 1e-4 for k in want)
 
 
+def test_streams_go_on_from_their_folder(spark, tmp_path):
+    rows = [(0, "create", "a"), (1, "delete", "b"), (2, "delete", "a"), (3, "create", "c")]
+    own = entries(spark, ["a", "b"]).select(*catalog.COLUMNS)
+    found = events(spark, rows)
+    place, folder = str(tmp_path / "place"), tmp_path / "in"
+    after = []
+    for k in range(2):
+        found.where(F.floor(F.col("event_id") / 2) == k).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(found.schema).option("pathGlobFilter", "*.parquet").parquet(str(folder))
+        after.append({r["path"]: r["dead"] for r in live.applied(stream, own, place).collect()})
+    assert after == [{"/r/a": False, "/r/b": True}, {"/r/a": True, "/r/b": True, "/r/c": False}]
+    assert {r["path"]: r["dead"] for r in live.applied(stream, own, place).collect()} == after[1]
+
+
 def test_engine(spark, tmp_path):
     engine = api.Engine(spark, "/r", str(tmp_path))
     engine.reconcile(entries(spark, ["", "a.c", "b.c", "sub/"]).select("root", "path", "is_dir"))

@@ -5,7 +5,7 @@ decides whether an event is a person's (0.5 s or more) and whether it goes on a
 the open before it that passed the gate. A visit or transition counts unless the same one was counted less than
 60 s ago and is still among the last eight counted ones of its kind.
 
-All but the last rule are windows inside hours, with what comes before carried in one row per hour, so one root may
+All but the last rule are windows inside minutes, with what comes before carried in one row per minute, so one root may
 hold most events. The last rule is a fold in order; it starts afresh wherever 60 s pass without a candidate, so it
 runs over (root, kind, run) with eight slots as its whole state, row by row, not group by group.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from treadle.constants import EDGE_WEIGHT, EDIT_WEIGHT, MAX_GAP_SECS, MIN_GAP_SECS, OPEN_WEIGHT, REPEAT_SECS, REPEAT_SLOTS
 from treadle.operators.catalog import alive_at
-from treadle.plans.blocks import hour, last_before, running_sum
+from treadle.plans.blocks import last_before, minute, running_sum
 
 ORDER = ["ts", "event_id"]
 
@@ -33,14 +33,14 @@ def seconds(later: str, earlier: str) -> F.Column:
 def eligible(events: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Opens and edits of files that are alive when they come. A file that is moved in is edited, by an editor that saves under another name first;
     opens of directories aren't a person's."""
-    found = alive_at(events, hour(), entries).where(~F.coalesce("is_dir", F.lit(False)))
+    found = alive_at(events, minute(), entries).where(~F.coalesce("is_dir", F.lit(False)))
     moved = F.col("kind") == "move_in"
     return found.where(moved | (F.col("alive") & F.col("kind").isin("open", "edit"))).withColumn("kind", F.when(moved, "edit").otherwise(F.col("kind"))).drop("alive")
 
 
 def with_gaps(events: DataFrame) -> DataFrame:
     """``gap`` in seconds to the event before of the same root; the first one's counts as a new session."""
-    found = last_before(events, ["root"], hour(), ORDER, F.col("ts"), "_previous")
+    found = last_before(events, ["root"], minute(), ORDER, F.col("ts"), "_previous")
     return found.withColumn("gap", F.coalesce(seconds("ts", "_previous"), F.lit(MAX_GAP_SECS + 1))).drop("_previous")
 
 
@@ -51,13 +51,13 @@ def gated(events: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame) -> DataFrame:
     """(root, session, started, ended, events) of runs without a gap over 600 s."""
-    numbered = running_sum(with_gaps(events), ["root"], hour(), ORDER, (F.col("gap") > MAX_GAP_SECS).cast("long"), "session")
+    numbered = running_sum(with_gaps(events), ["root"], minute(), ORDER, (F.col("gap") > MAX_GAP_SECS).cast("long"), "session")
     return numbered.groupBy("root", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
 
 
 def transitions(passed: DataFrame) -> DataFrame:
     """(root, ts, event_id, src, dst) of opens after an open of another file in the same session; ``passed`` is gated."""
-    opens = last_before(passed.where("kind = 'open'"), ["root"], hour(), ORDER, F.col("path"), "src")
+    opens = last_before(passed.where("kind = 'open'"), ["root"], minute(), ORDER, F.col("path"), "src")
     return opens.where((F.col("gap") <= MAX_GAP_SECS) & (F.col("src") != F.col("path"))).select("root", *ORDER, "src", F.col("path").alias("dst"))
 
 
@@ -82,9 +82,9 @@ class RepeatRing:
 
 def counted(found: DataFrame) -> DataFrame:
     """Those of the candidates that count."""
-    breaks = last_before(found, ["root", "kind"], hour(), ORDER, F.col("ts"), "_previous")
+    breaks = last_before(found, ["root", "kind"], minute(), ORDER, F.col("ts"), "_previous")
     fresh = F.coalesce(seconds("ts", "_previous") >= REPEAT_SECS, F.lit(True))
-    runs = running_sum(breaks, ["root", "kind"], hour(), ORDER, fresh.cast("long"), "run").drop("_previous")
+    runs = running_sum(breaks, ["root", "kind"], minute(), ORDER, fresh.cast("long"), "run").drop("_previous")
     runs = runs.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     ordered = runs.repartition("root", "kind", "run").sortWithinPartitions("root", "kind", "run", *ORDER)
     columns = found.columns

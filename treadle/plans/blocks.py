@@ -51,5 +51,5 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], out: str, partiti
     return own.join(counts, [*keys, "_part"]).withColumn(out, (F.col("_before") + F.col("_own") - 1).cast("int")).drop("_part", "_own", "_before")
 
 
-def hour(ts: str = "ts") -> Column:
-    return F.date_trunc("hour", ts)
+def minute(ts: str = "ts") -> Column:
+    return F.date_trunc("minute", ts)

@@ -1,4 +1,4 @@
-"""A directory tree as a Spark data source: one partition per top directory."""
+"""A directory tree as a Spark data source: one partition per directory of a level that has enough of them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: Directories of one level that are enough to deal out, and levels to look for them.
+TASKS, DEPTH = 64, 3
+
+
 def _visible(name: str) -> bool:
     if name.startswith("."):
         return False
@@ -18,6 +22,14 @@ def _visible(name: str) -> bool:
     return True
 
 
+def _directories(top: str) -> list[str]:
+    try:
+        with os.scandir(top) as found:
+            return sorted(e.path for e in found if _visible(e.name) and e.is_dir(follow_symlinks=False))
+    except OSError:  # its own task says so
+        return []
+
+
 class Part(InputPartition):
     def __init__(self, directory: str, deep: bool):
         self.directory, self.deep = directory, deep
@@ -30,12 +42,13 @@ class TreeReader(DataSourceReader):
         self.root = os.path.realpath(options["path"])
 
     def partitions(self) -> list[Part]:
-        try:
-            with os.scandir(self.root) as found:
-                tops = sorted(e.path for e in found if _visible(e.name) and e.is_dir(follow_symlinks=False))
-        except OSError:
-            tops = []
-        return [Part(self.root, False), *(Part(t, True) for t in tops)]
+        """One for each directory of the first level that has TASKS of them, down to DEPTH, and one for each above, for what lies directly in it."""
+        above, level = [self.root], _directories(self.root)
+        for _ in range(DEPTH - 1):
+            if len(level) >= TASKS:
+                break
+            above, level = above + level, [d for top in level for d in _directories(top)]
+        return [*(Part(d, False) for d in above), *(Part(d, True) for d in level)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         waiting = [partition.directory]

@@ -32,21 +32,47 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", f
     return bound(raw)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    place = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", place: str | None = None) -> None:
+    """``place``: a shared folder that keeps how far the stream came; another run with the same one goes on from there."""
+    place = place or f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/progress").foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
-def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+def collected(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
     """The rows of all batches, read back from the shared folder."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    place = place or f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{place}/batches/batch={number}")
 
-    run_batches(stream, each, mode)
-    return spark.read.schema(stream.schema).parquet(f"{place}/*")
+    run_batches(stream, each, mode, place)
+    return spark.read.schema(stream.schema).parquet(f"{place}/batches/*")
+
+
+class Versions:
+    """Tables as they are after each batch, in a shared folder. A batch that is run again starts from the one before it and
+    replaces its own version."""
+
+    def __init__(self, spark: SparkSession, place: str | None, **schemas: str):
+        self.spark, self.place, self.schemas = spark, place or f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", schemas
+
+    def _path(self, at: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{at}")
+
+    def last(self, before: int | None = None) -> dict[str, DataFrame] | None:
+        """The newest whole version, of a batch before the given one; None if there is none."""
+        done = self._path("done-*")
+        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done)
+        numbers = [int(f.getPath().getName().rsplit("-", 1)[1]) for f in found or []]
+        newest = max((n for n in numbers if before is None or n < before), default=None)
+        return None if newest is None else {k: self.spark.read.schema(v).parquet(f"{self.place}/{k}-{newest}") for k, v in self.schemas.items()}
+
+    def keep(self, number: int, **tables: DataFrame) -> None:
+        for k, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.place}/{k}-{number}")
+        mark = self._path(f"done-{number}")
+        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
 
 
 class Alive:
@@ -114,32 +140,36 @@ def counted_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("root").applyInPandasWithState(count_events, COUNTED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def applied(events: DataFrame, entries: DataFrame) -> DataFrame:
-    """The catalog after all batches; each batch's result is a stored version."""
-    held = {"entries": stored(entries)}
+def applied(events: DataFrame, entries: DataFrame, place: str | None = None) -> DataFrame:
+    """The catalog after all batches, from ``entries`` before the first; each batch's result is a stored version."""
+    kept = Versions(entries.sparkSession, place, entries="root string, path string, is_dir boolean, dead boolean")
+    first = stored(entries)
 
     def each(batch: DataFrame, number: int) -> None:
-        held["entries"] = stored(catalog.lifecycle(held["entries"], batch))
+        before = kept.last(number)
+        kept.keep(number, entries=catalog.lifecycle(before["entries"] if before else first, stored(batch)))
 
-    run_batches(events, each)
-    return held["entries"]
+    run_batches(events, each, place=kept.place)
+    after = kept.last()
+    return after["entries"] if after else first
 
 
-def ranked(events: DataFrame) -> DataFrame:
+def ranked(events: DataFrame, place: str | None = None) -> DataFrame:
     """(root, path, p, r) kept up to date: each batch adds its counted visits and transitions, and the rank goes on from there."""
-    held: dict[str, DataFrame | None] = {"opens": None, "edges": None, "rank": None}
+    kept = Versions(events.sparkSession, place, opens="root string, path string, opens double", edges="root string, src string, dst string, weight double", rank="root string, path string, p double, r double")
 
     def each(batch: DataFrame, number: int) -> None:
-        found = stored(batch)
+        found, before = stored(batch), kept.last(number)
         opens, edges = access.visit_weights(found), access.edge_weights(found)
-        if held["opens"] is not None:
-            opens, edges = rank.apply_opens(held["opens"], opens), rank.apply_deltas(held["edges"], edges)
-        held["opens"], held["edges"] = stored(opens), stored(edges)
-        settled = held["rank"] if held["rank"] is not None else held["opens"].select("root", "path", F.lit(0.0).alias("p"))
-        held["rank"] = stored(rank.incremental_rank(held["opens"], settled, held["edges"], epsilon=0.0))
-
-    run_batches(counted_stream(events), each)
-    return held["rank"]
+        if before:
+            opens, edges = rank.apply_opens(before["opens"], opens), rank.apply_deltas(before["edges"], edges)
+        opens, edges = stored(opens), stored(edges)
+        settled = before["rank"] if before else opens.select("root", "path", F.lit(0.0).alias("p"))
+        kept.keep(number, opens=opens, edges=edges, rank=rank.incremental_rank(opens, settled, edges, epsilon=0.0))
+
+    run_batches(counted_stream(events), each, place=kept.place)
+    after = kept.last()
+    return after["rank"] if after else events.sparkSession.createDataFrame([], kept.schemas["rank"])
 
 
 def table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
