@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treadle.plans.storage import release, stored
 
-__all__ = ["hash_sample", "in_fold", "let", "release", "stored", "table", "window_of"]
+__all__ = ["hash_sample", "in_fold", "let", "release", "stored", "table", "tidied", "window_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +42,20 @@ def window_of(text: str, chars: int, salt: int = 0) -> Column:
     """The text, or ``chars`` characters of a longer one, from a place that a hash of it gives."""
     place = 1 + F.pmod(F.xxhash64(F.lit(salt), F.col(text)), F.greatest(F.length(text) - chars + 1, F.lit(1)))
     return F.substring(F.col(text), place.cast("int"), F.lit(chars))
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the Python worker, which waits for its next task, gives back the memory that it freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treadle.llm.common import tidied
+
 SAMPLE = 800
 PLACES = 3
 #: Learned from at most; more values of the column are an error.
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 langs, scores = labels_of(part.column(1), tables)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
-    return plain.mapInArrow(run, "id long, lang_pred string, score double")
+    return plain.mapInArrow(tidied(run), "id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -208,7 +210,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text_co
                 _, scores = labels_of(part.column(at).cast(pa.binary()), tables)
                 yield part.filter(pa.array(np.array(scores) >= least))
 
-    return letters.mapInArrow(run, docs.schema)
+    return letters.mapInArrow(tidied(run), docs.schema)
 
 
 def labels_of(column: pa.Array, tables: Tables) -> tuple[list[str], list[float]]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treadle.llm.common import release, stored
+from treadle.llm.common import release, stored, tidied
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -169,7 +169,7 @@ def signed(plain: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["id", "d1", "d2", "bands"])
                 k = to
 
-    return rows.mapInArrow(run, "id long, d1 long, d2 long, bands array<bigint>")
+    return rows.mapInArrow(tidied(run), "id long, d1 long, d2 long, bands array<bigint>")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def contents(plain: DataFrame, keys: DataFrame) -> DataFrame:
                 weights = pa.array([n.astype(np.uint32).tobytes() if len(n) and n.max() > 1 else b"" for _, n in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), elements, weights], ["key", "elements", "weights"])
 
-    return rows.mapInArrow(run, f"key {KEY}, elements binary, weights binary")
+    return rows.mapInArrow(tidied(run), f"key {KEY}, elements binary, weights binary")
 
 
 def verified(pairs: DataFrame, own: DataFrame, extras: bool = False) -> DataFrame:
@@ -228,7 +228,7 @@ def verified(pairs: DataFrame, own: DataFrame, extras: bool = False) -> DataFram
                 columns = [pa.array([row[k] for row in found], t) for k, t in enumerate(kinds.values())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["a", "b", *kinds])
 
-    return rows.mapInArrow(run, f"a {KEY}, b {KEY}, jaccard double, probability double, size long, common long, mass long, held long, extra array<bigint>, weight array<bigint>")
+    return rows.mapInArrow(tidied(run), f"a {KEY}, b {KEY}, jaccard double, probability double, size long, common long, mass long, held long, extra array<bigint>, weight array<bigint>")
 
 
 def near() -> Column:

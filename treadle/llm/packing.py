@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treadle.llm.bpe import codec
-from treadle.llm.common import stored
+from treadle.llm.common import stored, tidied
 
 WINDOW = 1024
 LOT_TOKENS = 4_000_000
@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
 
         return run
 
-    done = stored(plain.mapInArrow(packed(0, encode), SCHEMA))
+    done = stored(plain.mapInArrow(tidied(packed(0, encode)), SCHEMA))
     fills = done.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
     loose = fills.where(F.col("fill") < window - SLACK)
     n, tokens = loose.agg(F.count("*"), F.sum("fill")).first()
@@ -162,4 +162,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     loose = F.broadcast(loose) if n <= BROADCAST_ROWS else loose
     again = done.join(loose, "sequence_id", "left_semi").select("id", "start", "ids", "doc_tokens", "sequence_id", "offset")
     again = again.repartition(max(1, -(-tokens // LOT_TOKENS)), F.xxhash64("sequence_id", "offset")).select("id", "start", "ids", "doc_tokens")
-    return done.join(loose, "sequence_id", "left_anti").select(*done.columns).unionByName(again.mapInArrow(packed(1 << 62, pieces), SCHEMA))
+    return done.join(loose, "sequence_id", "left_anti").select(*done.columns).unionByName(again.mapInArrow(tidied(packed(1 << 62, pieces)), SCHEMA))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treadle.llm.common import window_of
+from treadle.llm.common import tidied, window_of
 
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
@@ -178,4 +178,4 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 expected, tail = scorer.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], ["id", "expected_grade", "tail"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, expected_grade double, tail double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "id long, expected_grade double, tail double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treadle.llm.common import hash_sample, window_of
+from treadle.llm.common import hash_sample, tidied, window_of
 
 SAMPLE = 1500
 SAMPLE_CHARS = 5000
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 part = batch.slice(k, 128)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(part.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -245,4 +245,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
                 part = batch.slice(k, 128)
                 yield part.filter(pa.array(scorer.scores(part.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidied(run), fields)
