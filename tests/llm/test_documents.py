@@ -209,12 +209,13 @@ def test_groups_lose_no_link(spark, weights):
     weight = lambda keys: {k: rng.choice(weights) for k in keys}
     centre, members = set(range(40)), []
     common = rng.sample(range(500, 600), 12)  # popular, but not with the centre
-    for _ in range(60):
-        x = weight([*rng.sample(range(40), rng.randint(10, 40)), *rng.sample(range(100, 140), rng.randint(0, 20)), *rng.sample(common, rng.choice([0, 0, 10, 12]))])
+    for group in range(60):
+        own = rng.sample(range(100, 140), rng.randint(0, 20)) + rng.sample(common, rng.choice([0, 0, 10, 12])) if group % 3 else []
+        x = weight([*rng.sample(range(40), rng.randint(10, 40)), *own])
         members.append(x)
         for _ in range(2):
-            y = {k: max(1, n + rng.randint(-1, 1)) if len(weights) > 1 else 1 for k, n in x.items() if rng.random() < 0.95}
-            members.append(y | weight(rng.sample(range(1000, 2000), rng.randint(0, 4))))
+            y = {k: max(1, n + rng.randint(-1, 1)) if len(weights) > 1 else 1 for k, n in x.items() if rng.random() < 0.97}
+            members.append(y | dict.fromkeys(rng.sample(range(1000, 2000), rng.randint(0, 3)), 1))
     stars = spark.createDataFrame(star_rows(centre, members), f"a {near_dup.KEY}, b {near_dup.KEY}, jaccard double, probability double, size long, common long, mass long, held long, extra array<bigint>, weight array<bigint>")
     roots = spark.createDataFrame([], f"id {near_dup.KEY}, root {near_dup.KEY}")
     groups = near_dup.stored(near_dup.groups_of(stars, roots))
