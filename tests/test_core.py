@@ -5,6 +5,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from treadle import api
 from treadle.functions import paths, tokens
 from treadle.operators import access, catalog, rank, reply, search, snapshot
 from treadle.plans import blocks
+from treadle.plans.oracle import oracle_sql
+from treadle.plans.queries import queries
 from treadle.sources import binary_snapshot, tree
 from treadle.streaming import live
 
@@ -87,6 +90,30 @@ def test_tokens(spark):
     assert [sorted(r["t"]) for r in row] == [["ab", "ab.ab"], ["é", "é-x"], [".."], ["a b"]]
 
 
+def repeated_pages(spark, tmp_path):
+    """A folder of tables in which two pages have one address and a third one's directory is a page, too."""
+    own = {name: f"/root/testdata/sf0.001/{name}.parquet" for name in ("part", "customer", "supplier", "nation", "documents")}
+    for name, path in own.items():
+        (tmp_path / f"{name}.parquet").symlink_to(path)
+    rows = [(1, "https://a.b/ring_1", ""), (2, "https://a.b/ring_1/", ""), (3, "https://a.b/ring_1/x1", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    return str(tmp_path)
+
+
+def by_sql(folder, name):
+    """What the query's SQL returns, sorted."""
+    con = duckdb.connect()
+    for t in ("part", "customer", "supplier", "nation", "documents", "pages"):
+        path = f"{folder}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{path}/*.parquet')" if os.path.isdir(path) else f"CREATE VIEW {t} AS FROM read_parquet('{path}')")
+    return sorted(con.execute(oracle_sql()[name]).fetchall())
+
+
+def test_count_of_postings_with_repeated_paths(spark, tmp_path):
+    folder = repeated_pages(spark, tmp_path)
+    assert sorted(map(tuple, queries()["tok_count"](spark, folder).collect())) == by_sql(folder, "tok_count")
+
+
 # ---- access
 
 

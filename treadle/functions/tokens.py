@@ -26,8 +26,8 @@ def tokens(name: Column) -> Column:
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """(token, root, path), one row for each distinct token of an entry's name; dead entries too."""
-    return entries.select(F.explode(tokens(basename(F.col("path")))).alias("token"), "root", "path")
+    """(token, root, path), one row for each distinct token of a path's name; dead entries too. A path that several entries have counts once."""
+    return entries.select("root", "path").distinct().select(F.explode(tokens(basename(F.col("path")))).alias("token"), "root", "path")
 
 
 def probe_segments(text: str) -> list[str]:
