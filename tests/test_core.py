@@ -114,6 +114,13 @@ def test_count_of_postings_with_repeated_paths(spark, tmp_path):
     assert sorted(map(tuple, queries()["tok_count"](spark, folder).collect())) == by_sql(folder, "tok_count")
 
 
+def test_postings_of_repeated_paths(spark, tmp_path):
+    folder = repeated_pages(spark, tmp_path)
+    got = sorted(map(tuple, queries()["tok_postings"](spark, folder).collect()))
+    assert got == by_sql(folder, "tok_postings")
+    assert [t for t, _, path in got if path == "/data/web/a.b/ring_1"] == ["ing", "ng", "ring", "ring_1"]
+
+
 # ---- access
 
 
