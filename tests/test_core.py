@@ -121,6 +121,12 @@ def test_postings_of_repeated_paths(spark, tmp_path):
     assert [t for t, _, path in got if path == "/data/web/a.b/ring_1"] == ["ing", "ng", "ring", "ring_1"]
 
 
+def test_prefix_counts_of_repeated_paths(spark, tmp_path):
+    folder = repeated_pages(spark, tmp_path)
+    got = sorted(map(tuple, queries()["tok_prefix_postings"](spark, folder).collect()))
+    assert got == by_sql(folder, "tok_prefix_postings")
+
+
 # ---- access
 
 
