@@ -233,6 +233,18 @@ def test_groups_lose_no_link(spark, weights):
     assert len({p[:2] for p in met}) < len(members) * (len(members) - 1) / 4
 
 
+def test_members_meet_once_and_where_enough_follows(spark):
+    centre, popular, members = set(range(40)), range(50, 58), []
+    for family in range(12):  # of three that differ in one element each; families share the popular ones, too few for a link
+        for k in range(3):
+            members.append(dict.fromkeys([*range(10), *popular, *range(100 + 5 * family, 103 + 5 * family), 1000 + 3 * family + k], 1))
+    stars = spark.createDataFrame(star_rows(centre, members), f"a {near_dup.KEY}, b {near_dup.KEY}, jaccard double, probability double, size long, common long, mass long, held long, extra array<bigint>, weight array<bigint>")
+    groups = near_dup.stored(near_dup.groups_of(stars, spark.createDataFrame([], f"id {near_dup.KEY}, root {near_dup.KEY}")))
+    met = groups.alias("x").join(groups.alias("y"), near_dup.GROUP).where("x.b.id < y.b.id").where(near_dup.possible("x", "y", F.col("within")))
+    met = sorted(tuple(r) for r in met.select("x.b.id", "y.b.id").collect())
+    assert met == [(3 * f + i, 3 * f + j) for f in range(12) for i, j in ((1, 2), (1, 3), (2, 3))]
+
+
 def test_near_duplicates_link_by_weight(spark):
     rng = random.Random(10)
     rows, want = [], {}

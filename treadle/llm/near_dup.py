@@ -242,40 +242,47 @@ def with_root(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
 
 
 def possible(x: str, y: str, within: Column) -> Column:
-    """Whether two members of a centre can be a link, from what each has in common with it.
+    """Whether two members of a group can be a link, from what each has in common with the centre and, unless they are to meet by the
+    centre's elements alone (``within``), from the group's element on.
 
-    If all that they have in common is common with the centre (``within``), it's at most the lesser ``common``; otherwise the lesser
-    number of further elements comes on top. Two sets have SHARE of their sizes in common at least. By weight: if x has the share p
-    of its weight on elements of y, and y the share q on elements of x, the similarity is at most 1 / (1 / p + 1 / q - 1). Where
-    no element repeats in either text both similarities are the same, and the counts are enough.
+    They share at most the lesser ``common`` of the centre's elements and the lesser ``after`` of others. Two sets have SHARE of their sizes
+    in common at least. By weight: if x has the share p of its weight on elements of y, and y the share q on elements of x, the
+    similarity is at most 1 / (1 / p + 1 / q - 1). Where no element repeats in either text both similarities are the same, and
+    the counts are enough.
     """
     of = lambda side, c: F.col(f"{side}.{c}")
     least = F.least(of(x, "common"), of(y, "common"))
-    more = F.when(within, 0).otherwise(F.least(of(x, "size") - of(x, "common"), of(y, "size") - of(y, "common")))
+    more = F.when(within, 0).otherwise(F.least(of(x, "after"), of(y, "after")))
     counts = least + more >= SHARE * (of(x, "size") + of(y, "size")) - 1e-9
-    p, q = of(x, "held") / of(x, "mass"), of(y, "held") / of(y, "mass")
+    p, q = ((of(side, "held") + F.when(within, 0).otherwise(of(side, "mass_after"))) / of(side, "mass") for side in (x, y))
     repeats = (of(x, "mass") > of(x, "size")) | (of(y, "mass") > of(y, "size"))
-    return counts | (repeats & (~within | (1 / p + 1 / q <= 1 + 1 / THRESHOLD + 1e-9)))
+    return counts | (repeats & (1 / p + 1 / q <= 1 + 1 / THRESHOLD + 1e-9))
 
 
 def prefixes(own: DataFrame) -> DataFrame:
-    """(a, within, e, b, size, common, mass, held): the elements e by which members of a centre can meet that share some which the centre lacks.
+    """(a, within, e, b, size, common, mass, held, after, mass_after): the elements e by which members of a centre can meet that share some
+    which the centre lacks; how many such elements of b come from e on, and what they weigh.
 
     Such elements of a member are put in order, the rarest among the centre's members first. A link of sets x and y has at least
     THRESHOLD * |x| elements in common, of which the centre can give ``common``; by weight, the same holds of x's weight and
     ``held``. The first shared element is followed, itself included, by all the other shared ones, so only elements that so many
-    (or so much weight) follow have to be looked at. Those that no other member has come first and are left out.
+    (or so much weight) follow have to be looked at. Those that no other member has come first and are left out. Two members
+    need to meet by the first element only that they share, so of elements with the same members the first one is enough.
     """
     lines = own.select("a", "b", "size", "common", "mass", "held", F.explode(F.arrays_zip("extra", "weight")).alias("x")).select("*", F.col("x.extra").alias("e"), F.col("x.weight").alias("w")).drop("x")
     often = stored(lines.groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1"))
     after = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.join(small(often), ["a", "e"]).select("*", F.count("*").over(after).alias("count_after"), F.sum("w").over(after).alias("mass_after"))
-    enough = (F.col("count_after") >= THRESHOLD * F.col("size") - F.col("common") - 1e-9) | (F.col("mass_after") >= THRESHOLD * F.col("mass") - F.col("held") - 1e-9)
-    return lines.where(enough).select("a", F.lit(False).alias("within"), "e", "b", "size", "common", "mass", "held")
+    lines = lines.join(small(often), ["a", "e"]).select("*", F.count("*").over(after).alias("after"), F.sum("w").over(after).alias("mass_after"))
+    enough = (F.col("after") >= THRESHOLD * F.col("size") - F.col("common") - 1e-9) | (F.col("mass_after") >= THRESHOLD * F.col("mass") - F.col("held") - 1e-9)
+    lines = stored(lines.where(enough))
+    same = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("b")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "b")).alias("h2")]
+    first = lines.groupBy("a", "e").agg(F.min("n").alias("n"), *same).where("members > 1").groupBy("a", "members", "h1", "h2").agg(F.min(F.struct("n", "e")).alias("first"))
+    lines = lines.join(small(stored(first.select("a", F.col("first.e").alias("e")))), ["a", "e"], "left_semi")
+    return lines.select("a", F.lit(False).alias("within"), "e", "b", "size", "common", "mass", "held", "after", "mass_after")
 
 
 def groups_of(stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, within, e, b, size, common, mass, held): the groups of step 4, for centres with members of several components."""
+    """(a, within, e, b, size, common, mass, held, after, mass_after): the groups of step 4, for centres with members of several components."""
     known = small(roots)
     own = with_root(with_root(stars.select("a", "b"), known, "b", "root_b"), known, "a", "root_a")
     torn = stored(own.where("root_a <> root_b").select("a").distinct())
@@ -287,7 +294,7 @@ def groups_of(stars: DataFrame, roots: DataFrame) -> DataFrame:
     sets = (F.col("least") <= largest + 1e-6) & (F.col("size") <= F.col("most") + 1e-6)
     partner = F.when(repeats, F.col("top")).otherwise(F.col("top_repeats"))
     weights = F.coalesce(1 / part + 1 / partner <= 1 + 1 / THRESHOLD + 1e-9, F.lit(False))
-    by_centre = facts.join(small(stored(limits)), "a").where(sets | weights).select("a", F.lit(True).alias("within"), F.lit(0).cast("long").alias("e"), "b", "size", "common", "mass", "held")
+    by_centre = facts.join(small(stored(limits)), "a").where(sets | weights).select("a", F.lit(True).alias("within"), F.lit(0).cast("long").alias("e"), "b", "size", "common", "mass", "held", *[F.lit(0).cast("long").alias(c) for c in ("after", "mass_after")])
     return prefixes(own).unionByName(by_centre)
 
 
