@@ -127,6 +127,26 @@ def test_prefix_counts_of_repeated_paths(spark, tmp_path):
     assert got == by_sql(folder, "tok_prefix_postings")
 
 
+def spaced_texts(spark, tmp_path):
+    """A folder of tables in which texts have spaces of all kinds before, in and after their first words."""
+    own = {name: f"/root/testdata/sf0.001/{name}.parquet" for name in ("part", "customer", "supplier", "nation", "pages")}
+    for name, path in own.items():
+        (tmp_path / f"{name}.parquet").symlink_to(path)
+    wide = "\u00a0\u1680\u2000\u2005\u200a\u202f\u205f\u3000"
+    texts = [f"{a}ring{b}" for a in [*wide, " ", " \u3000 ", "\t", "\u2028", "\n", "\u3000\n"] for b in ("", " x", "\u3000", "\u3000 ", " \u3000", "\u3000x", "\u3000 x", "\u3000\n")]
+    texts += ["", " ", wide, None, f"{wide}é{wide}1", "csv" * 90 + wide, wide * 50 + "csv", "é" + wide * 50, "é" + wide * 20 + " 1", "é" + " \n" * 100_000]
+    rows = [(k, t, "en", "web", 0) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_postings_of_spaced_texts(spark, tmp_path):
+    folder = spaced_texts(spark, tmp_path)
+    got = sorted(map(tuple, queries()["tok_postings"](spark, folder).collect()))
+    assert got == by_sql(folder, "tok_postings")
+    assert ("ring-0.txt", "/data", "/data/docs/en/web/ring-0.txt") in got
+
+
 # ---- access
 
 

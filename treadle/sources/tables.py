@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from treadle.functions.paths import ancestors
 
 ROOT = "/data"
-#: The first word of a text without dots and slashes, or x; it looks no further into the text than that.
-FIRST_WORD = "coalesce(nullif(regexp_replace(regexp_extract(text, '^ *([^ \n]*)', 1), '[./]', ''), ''), 'x')"
+#: The characters that SQL's trim takes off both ends of a text: all of Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+#: The first word of the trimmed text: its wide spaces belong to it, unless only spaces follow to the text's end.
+WORD = f"^[{SPACES}]*+((?:[^{SPACES}\n]++|[{SPACES[1:]}]++(?![{SPACES}]*+\\\\z))*+)"
+#: That word without dots and slashes, or x; it looks no further into the text than that.
+FIRST_WORD = f"coalesce(nullif(regexp_replace(regexp_extract(text, '{WORD}', 1), '[./]', ''), ''), 'x')"
 
 #: Query texts of every kind: root, prefixes, tokens.
 TEXTS = ["", "p", "parts/", "/data/docs/fr", "ring", "ring_1", "a.", "é", ".csv", "small", "Customer#00000001", "_12", "en"]
