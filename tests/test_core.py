@@ -147,6 +147,12 @@ def test_postings_of_spaced_texts(spark, tmp_path):
     assert ("ring-0.txt", "/data", "/data/docs/en/web/ring-0.txt") in got
 
 
+def test_prefix_counts_of_spaced_texts(spark, tmp_path):
+    folder = spaced_texts(spark, tmp_path)
+    got = sorted(map(tuple, queries()["tok_prefix_postings"](spark, folder).collect()))
+    assert got == by_sql(folder, "tok_prefix_postings")
+
+
 # ---- access
 
 
